@@ -18,6 +18,16 @@ import numpy as np
 CACHE_PIECES = 1_000_000
 END_OF_WORD, BYTE_LEVEL = "end_of_word", "byte_level"
 _SPACE_BEFORE_BREAK = re.compile(r"\s[ \n]")
+_TOGETHER = 512
+#: White space by which a piece could merge with its neighbours.
+_MERGES = re.compile(r"\s\s|\s$")
+_ODD = re.compile(r"^\S|^$|\s\s|\s$")
+_BREAK = re.compile(r"\s[ \n]")
+#: A control character that separates pieces. White space of three or before a fence's newline could merge with the fence's.
+_FENCE = "\x01"
+_TOGETHER = 512
+_MERGES = re.compile(r"\s\s\s|\s\n\x01")
+_ODD = re.compile(r"\x01|^\s*$|^\s\s|\s$")
 _BREAK = re.compile(r"(?<=\S)(?=[ \n])")
 
 
@@ -37,13 +47,46 @@ class PieceEncoder:
         if self._tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary need more than 16 bits")
         self._style, self._known = style, {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        new = list(pieces - self._known.keys())
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for piece, code in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self._known[piece] = np.array(code.ids, "<u2").tobytes()
+        size = np.zeros(1 << 16, np.int64)
+        for token, k in self._tokenizer.get_vocab(with_added_tokens=False).items():
+            size[k] = len(token.removesuffix("</w>") if style == END_OF_WORD else token)  # a character for each byte
+        self._bytes = size
+
+    def _alone(self, pieces: list[str]) -> None:
+        for piece, code in zip(pieces, self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
+            self._known[piece] = np.array(code.ids, "<u2").tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode many pieces in one call. Where a piece's ids end follows from the bytes that each id stands for; pieces that could
+        merge with a neighbour are encoded alone."""
+        groups, texts, sizes = [], [], []
+        for k in range(0, len(new), _TOGETHER):
+            some = new[k : k + _TOGETHER]
+            if self._style == END_OF_WORD:
+                text = " ".join(some)
+                parts = self._tokenizer.normalizer.normalize_str(text).split(" ")
+            else:
+                text = "".join(some)
+                if _MERGES.search(text) or not all(p[:1] in " \n" for p in some):
+                    self._alone([p for p in some if _ODD.search(p)])
+                    some = [p for p in some if not _ODD.search(p)]
+                    text = "".join(some)
+                parts = some
+            if len(parts) != len(some):
+                self._alone(some)
+            elif some:
+                groups.append(some)
+                texts.append(text)
+                sizes.append([len(p.encode()) for p in parts])
+        for some, own, code in zip(groups, sizes, self._tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(code.ids, "<u2")
+            ends, total = np.cumsum(own), np.cumsum(self._bytes[ids])
+            cut = np.searchsorted(total, ends, "right")
+            if not len(ids) or total[-1] != ends[-1] or (np.r_[0, total][cut] != ends).any():
+                self._alone(some)
+                continue
+            raw, high = ids.tobytes(), (2 * cut).tolist()
+            self._known.update({piece: raw[a:b] for piece, a, b in zip(some, [0, *high[:-1]], high, strict=True)})
 
     def _pieces(self, text: str) -> list[str]:
         if self._style == END_OF_WORD:
@@ -56,20 +99,22 @@ class PieceEncoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. A batch's own pieces stay in the table while it is encoded; the table is emptied between batches when it is full."""
-        split = [self._pieces(t) for t in texts]
         out: list[bytes] = []
         low = 0
-        while low < len(split):
-            high, seen = low, set()
-            while high < len(split) and (high == low or len(seen) < CACHE_PIECES // 4):
-                seen.update(split[high])
-                high += 1
-            if len(self._known) + len(seen) > CACHE_PIECES:
+        while low < len(texts):
+            if len(self._known) > CACHE_PIECES:
                 self._known.clear()
-            self._learn(seen)
-            get = self._known.__getitem__
-            out += [b"".join(map(get, pieces)) for pieces in split[low:high]]
-            low = high
+            get, new, run = self._known.get, set(), []
+            while low < len(texts) and len(new) < CACHE_PIECES // 4:
+                pieces = self._pieces(texts[low])
+                codes = list(map(get, pieces))
+                if None in codes:
+                    new.update([p for p, c in zip(pieces, codes, strict=True) if c is None])
+                run.append((pieces, codes))
+                low += 1
+            self._learn(list(new))
+            known = self._known
+            out += [b"".join(codes) if None not in codes else b"".join([known[p] if c is None else c for p, c in zip(pieces, codes, strict=True)]) for pieces, codes in run]
         return out
 
 
