@@ -1,3 +1,57 @@
-"""The corpus pipeline (its stages follow)."""
+"""The corpus pipeline: documents through quality rules, line dedup, near-duplicate removal, decontamination and packing.
 
-STAGES = []
+Each stage takes what its predecessor kept, written as Parquet and read again. All but the last return the columns of
+``documents``; the last returns pieces of documents in sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparrowgrid.llm import decontamination, line_dedup, ngram_join, packing, quality_rules
+from sparrowgrid.llm.common import read_table, staged
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules.keep_good(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat an earlier one; ``n_chars`` follows the text."""
+    cut = line_dedup.dedup_lines(docs)
+    return cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: five-word n-grams, similarity 0.8 or more."""
+    return ngram_join.keep_one_of_each(docs, width=5, percent=80)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    return decontamination.without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("near duplicates", near_duplicates), ("decontamination", decontaminated), ("packing", packed)]
+
+#: Compression ratios, SimHash, edit distances and token ids have no SQL form; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = read_table(spark, sf_dir, "documents").select(*COLUMNS)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = staged(docs, name.replace(" ", "-"))
+    return docs

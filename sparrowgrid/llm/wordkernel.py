@@ -57,6 +57,12 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     space: np.ndarray
+    total: np.ndarray
+
+    def hash_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hashes of any stretches of the data, as those of words are made."""
+        _, inverse = _power_tables(len(self.total))
+        return mix((self.total[end] - self.total[start]) * inverse[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
 
     @property
     def counts(self) -> np.ndarray:
@@ -105,11 +111,12 @@ def scan(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
     word = ~space
     start = np.flatnonzero(word & (before | edge[:n]))
     end = np.flatnonzero(word & (after | edge[1:])) + 1
-    power, inverse = _power_tables(n + 1)
+    power, _ = _power_tables(n + 1)
     total = np.zeros(n + 1, U)
     np.cumsum((_LOWERED if lower else _VALUES)[data] * power[:n], out=total[1:])
-    hashes = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
-    return Words(data, offsets, np.searchsorted(start, offsets), start, end, hashes, space)
+    words = Words(data, offsets, np.searchsorted(start, offsets), start, end, np.empty(0, U), space, total)
+    words.hash = words.hash_of(start, end)
+    return words
 
 
 def scan_column(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, Words]]:
@@ -148,7 +155,7 @@ def shingle_sets(words: Words, width: int) -> list[np.ndarray]:
         if n >= width:
             out.append(np.unique(windows[low : high - width + 1]))
         elif n:
-            out.append(mix((words.hash[low:high] * _WEIGHTS[:n]).sum(dtype=U, keepdims=True) + U(n) * U(0xA0761D6478BD642F)))
+            out.append(mix((words.hash[low:high] * _WEIGHTS[:n]).sum(dtype=U, keepdims=True) + U(n * 0xA0761D6478BD642F % 2**64)))
         else:
             out.append(np.empty(0, U))
     return out
