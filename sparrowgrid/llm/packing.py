@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .common import shared_path, staged
-from .token_output import groups_of_texts
 
 LENGTH, GRID = 2048, 4
 #: Offsets of tasks' ranks are broadcast up to this number of rows (24 bytes each), and joined beyond.
@@ -49,21 +48,19 @@ def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str, style: str, end_
     seen, seq, full = np.zeros(length // grid + 2, np.int64).tolist(), 0, 0
     names = [x.split()[0] for x in ENCODED.split(", ")]
     for batch in batches:
-        numbers, at = batch.column(0), 0
-        for run in groups_of_texts(batch.column(1).to_pylist()):
-            codes = [c + end for c in encoder.encode_many(run)]
-            sizes = [len(c) // 2 for c in codes]
-            classes, ranks, fulls = [], [], []
-            for n in sizes:
-                k = -(-(n % length) // grid)
-                classes.append(k)
+        for low, high, ids, bounds in encoder.encode(batch.column(1)):
+            raw, cut = ids.tobytes(), (2 * bounds).tolist()
+            codes = [raw[a:b] + end for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            sizes = np.diff(bounds) + 1
+            classes = -(-(sizes % length) // grid)
+            ranks = []
+            for k in classes.tolist():
                 ranks.append(seen[k])
-                fulls.append(full)
                 seen[k] += 1
-                full += n // length
-            m = len(codes)
-            yield pa.RecordBatch.from_arrays([numbers.slice(at, m), pa.array(codes, pa.binary()), pa.array(sizes), pa.array([part] * m), pa.array(range(seq, seq + m)), pa.array(classes, pa.int32()), pa.array(ranks), pa.array(fulls)], names=names)
-            at, seq = at + m, seq + m
+            fulls = np.cumsum(sizes // length) - sizes // length + full
+            m = high - low
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, m), pa.array(codes, pa.binary()), pa.array(sizes), pa.array(np.full(m, part)), pa.array(np.arange(seq, seq + m)), pa.array(classes.astype(np.int32)), pa.array(ranks, pa.int64()), pa.array(fulls)], names=names)
+            seq, full = seq + m, full + int((sizes // length).sum())
 
 
 def knapsack(prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

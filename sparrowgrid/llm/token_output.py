@@ -30,24 +30,10 @@ from . import elias_fano, tokens
 from .common import partitions, shared_path, staged
 
 FILE_IDS = 16 << 20
-BATCH_CHARS = 4 << 20
 MANIFEST = "part long, seq long, name string, n_docs long, n_ids long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long, file string"
 
 
-def groups_of_texts(texts: list[str | None], limit: int = BATCH_CHARS) -> Iterator[list[str]]:
-    """Runs of texts of about ``limit`` characters; null becomes empty."""
-    run, size = [], 0
-    for t in texts:
-        run.append(t or "")
-        size += len(run[-1])
-        if size >= limit:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
-
-
 def _write_files(batches: Iterator[pa.RecordBatch], path: str, vocabulary: str, style: str, end_id: int, file_ids: int) -> Iterator[pa.RecordBatch]:
     store, root = fs.FileSystem.from_uri(path)
     part, end, encoder = TaskContext.get().partitionId(), np.array([end_id], "<u2").tobytes(), tokens.encoder(vocabulary, style)
@@ -69,13 +55,13 @@ def _write_files(batches: Iterator[pa.RecordBatch], path: str, vocabulary: str,
         parts.clear()
 
     for batch in batches:
-        ids, at = batch.column(0).to_pylist(), 0
-        for run in groups_of_texts(batch.column(1).to_pylist()):
-            for code in encoder.encode_many(run):
-                numbers.append(ids[at])
-                parts.append(code + end)
+        own = batch.column(0).to_pylist()
+        for low, high, ids, bounds in encoder.encode(batch.column(1)):
+            raw, cut = ids.tobytes(), (2 * bounds).tolist()
+            for k in range(high - low):
+                numbers.append(own[low + k])
+                parts.append(raw[cut[k] : cut[k + 1]] + end)
                 size += len(parts[-1]) // 2
-                at += 1
                 if size >= file_ids:
                     flush()
                     size = 0

@@ -1,43 +1,40 @@
 """Token ids by the ``tokenizers`` library, encoded once for each distinct piece of text.
 
 Both supported vocabularies split a text at white space before they look at anything else, so a text's ids
-are those of its space-delimited pieces in order. A process keeps a bounded table of pieces and their ids:
-words repeat, and the library then sees each of them once, in batches. Pieces are cut only where the split is
-proven safe; the library itself encodes every piece, so ids are the library's.
-
-Ids are kept as little-endian unsigned 16-bit integers: both vocabularies have fewer than 65,536 entries.
+are those of its pieces in order. A piece is a word, with the white space before it where white space has ids: a token
+may begin with a blank, but none spans the border from a non-space to a space. A process keeps a bounded table from
+64-bit hashes of pieces to their ids; words repeat, and the library then sees each of them once, many in a call.
+Scanning, hashing, looking up and putting together are array operations on whole batches.
+
+Where another white space character than ASCII's stands before an ASCII one, the split is not proven, and such a
+text is one piece. Ids are kept as little-endian unsigned 16-bit integers: both vocabularies have fewer than 65,536
+entries.
 """
 
 from __future__ import annotations
 
 import functools
+import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+
+from . import wordkernel as wk
 
-CACHE_PIECES = 1_000_000
+#: About 30 bytes each, and as much again while new ones are added.
+TABLE_PIECES = 3_000_000
+RUN_BYTES = 4 << 20
 END_OF_WORD, BYTE_LEVEL = "end_of_word", "byte_level"
-_SPACE_BEFORE_BREAK = re.compile(r"\s[ \n]")
-_TOGETHER = 512
-#: White space by which a piece could merge with its neighbours.
-_MERGES = re.compile(r"\s\s|\s$")
-_ODD = re.compile(r"^\S|^$|\s\s|\s$")
-_BREAK = re.compile(r"\s[ \n]")
-#: A control character that separates pieces. White space of three or before a fence's newline could merge with the fence's.
-_FENCE = "\x01"
 _TOGETHER = 512
-_MERGES = re.compile(r"\s\s\s|\s\n\x01")
-_ODD = re.compile(r"\x01|^\s*$|^\s\s|\s$")
-_BREAK = re.compile(r"(?<=\S)(?=[ \n])")
+_WIDE_SPACE = rb"(?:\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)"
+_UNPROVEN = re.compile(_WIDE_SPACE + rb"[\x09-\x0d ]")
+_ANY_WIDE = re.compile(_WIDE_SPACE)
 
 
 class PieceEncoder:
-    """ids(text) as bytes of ``<u2``.
-
-    ``style`` END_OF_WORD: the vocabulary drops white space, so pieces are what lies between blanks and
-    newlines. BYTE_LEVEL: a piece is a word with the white space before it, since a token may begin with a
-    blank but never spans the border from a non-space to a space.
-    """
+    """A vocabulary's encoder. ``style`` END_OF_WORD: white space has no ids. BYTE_LEVEL: it has."""
 
     def __init__(self, path: str, style: str):
         from tokenizers import Tokenizer
@@ -46,83 +43,126 @@ class PieceEncoder:
         self._tokenizer.encode_special_tokens = True
         if self._tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary need more than 16 bits")
-        self._style, self._known = style, {}
+        self._style = style
         size = np.zeros(1 << 16, np.int64)
         for token, k in self._tokenizer.get_vocab(with_added_tokens=False).items():
             size[k] = len(token.removesuffix("</w>") if style == END_OF_WORD else token)  # a character for each byte
         self._bytes = size
-
-    def _alone(self, pieces: list[str]) -> None:
-        for piece, code in zip(pieces, self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self._known[piece] = np.array(code.ids, "<u2").tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode many pieces in one call. Where a piece's ids end follows from the bytes that each id stands for; pieces that could
-        merge with a neighbour are encoded alone."""
+        self._clear()
+
+    def _clear(self) -> None:
+        self._keys, self._slots = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self._start, self._length, self._pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u2")
+
+    def _alone(self, pieces: list[bytes]) -> list[np.ndarray]:
+        return [np.array(code.ids, "<u2") for code in self._tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+
+    def _learn(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """The ids of each piece. Many pieces go into one call; where a piece's ids end follows from the bytes that each id
+        stands for. Pieces that could merge with a neighbour are encoded alone."""
+        plain = list(range(len(pieces)))
+        out: list[np.ndarray | None] = [None] * len(pieces)
+        if self._style == BYTE_LEVEL:
+            space = b" \t\n\v\f\r"
+            plain = [k for k, p in enumerate(pieces) if p[:1] in space and p[-1:] not in space]
         groups, texts, sizes = [], [], []
-        for k in range(0, len(new), _TOGETHER):
-            some = new[k : k + _TOGETHER]
+        for k in range(0, len(plain), _TOGETHER):
+            some = plain[k : k + _TOGETHER]
+            own = [pieces[j] for j in some]
             if self._style == END_OF_WORD:
-                text = " ".join(some)
+                text = b" ".join(own).decode()
                 parts = self._tokenizer.normalizer.normalize_str(text).split(" ")
+                own = [p.encode() for p in parts]
             else:
-                text = "".join(some)
-                if _MERGES.search(text) or not all(p[:1] in " \n" for p in some):
-                    self._alone([p for p in some if _ODD.search(p)])
-                    some = [p for p in some if not _ODD.search(p)]
-                    text = "".join(some)
-                parts = some
-            if len(parts) != len(some):
-                self._alone(some)
-            elif some:
+                raw = b"".join(own)
+                if _ANY_WIDE.search(raw):
+                    continue
+                text = raw.decode()
+            if len(own) == len(some):
                 groups.append(some)
                 texts.append(text)
-                sizes.append([len(p.encode()) for p in parts])
+                sizes.append(list(map(len, own)))
         for some, own, code in zip(groups, sizes, self._tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(code.ids, "<u2")
-            ends, total = np.cumsum(own), np.cumsum(self._bytes[ids])
-            cut = np.searchsorted(total, ends, "right")
-            if not len(ids) or total[-1] != ends[-1] or (np.r_[0, total][cut] != ends).any():
-                self._alone(some)
-                continue
-            raw, high = ids.tobytes(), (2 * cut).tolist()
-            self._known.update({piece: raw[a:b] for piece, a, b in zip(some, [0, *high[:-1]], high, strict=True)})
-
-    def _pieces(self, text: str) -> list[str]:
-        if self._style == END_OF_WORD:
-            return text.replace("\n", " ").split(" ")
-        if _SPACE_BEFORE_BREAK.search(text):
-            return _BREAK.split(text)
-        # Here no white space stands before a blank or newline, so each blank or newline begins a piece.
-        words = text.replace("\n", " \n").split(" ")
-        return [words[0], *[w if w[:1] == "\n" else " " + w for w in words[1:]]]
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. A batch's own pieces stay in the table while it is encoded; the table is emptied between batches when it is full."""
-        out: list[bytes] = []
-        low = 0
-        while low < len(texts):
-            if len(self._known) > CACHE_PIECES:
-                self._known.clear()
-            get, new, run = self._known.get, set(), []
-            while low < len(texts) and len(new) < CACHE_PIECES // 4:
-                pieces = self._pieces(texts[low])
-                codes = list(map(get, pieces))
-                if None in codes:
-                    new.update([p for p, c in zip(pieces, codes, strict=True) if c is None])
-                run.append((pieces, codes))
-                low += 1
-            self._learn(list(new))
-            known = self._known
-            out += [b"".join(codes) if None not in codes else b"".join([known[p] if c is None else c for p, c in zip(pieces, codes, strict=True)]) for pieces, codes in run]
+            ends, total = np.cumsum(own), np.concatenate([[0], np.cumsum(self._bytes[ids])])
+            cut = np.searchsorted(total, ends)
+            if total[-1] == ends[-1] and (total[cut] == ends).all():
+                for j, a, b in zip(some, [0, *cut[:-1].tolist()], cut.tolist(), strict=True):
+                    out[j] = ids[a:b]
+        rest = [j for j, x in enumerate(out) if x is None]
+        for j, ids in zip(rest, self._alone([pieces[j] for j in rest]), strict=True):
+            out[j] = ids
         return out
 
+    def _slots_of(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, raw: bytes) -> np.ndarray:
+        """Each piece's slot in the table; new pieces get one."""
+        distinct, at, where = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self._keys) + len(distinct) > TABLE_PIECES:
+            self._clear()
+        place = np.searchsorted(self._keys, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = place < len(self._keys)
+        new[inside] = self._keys[place[inside]] != distinct[inside]
+        if new.any():
+            some = at[new]
+            ids = self._learn([raw[a:b] for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)])
+            length = np.array(list(map(len, ids)), np.int64)
+            base = len(self._start)
+            self._start = np.concatenate([self._start, len(self._pool) + np.cumsum(length) - length])
+            self._length = np.concatenate([self._length, length])
+            self._pool = np.concatenate([self._pool, *ids])
+            self._slots = np.insert(self._slots, place[new], base + np.arange(len(length)))
+            self._keys = np.insert(self._keys, place[new], distinct[new])
+            place = np.searchsorted(self._keys, distinct)
+        return self._slots[place][where]
+
+    def _pieces(self, words: wk.Words, raw: bytes) -> tuple[np.ndarray, ...]:
+        """(first piece of each text, start, end, hash) of a run of texts."""
+        if self._style == END_OF_WORD:
+            return words.first, words.start, words.end, words.hash
+        n = len(words.offsets) - 1
+        text = words.text_of()
+        start = np.empty_like(words.start)
+        start[1:] = words.end[:-1]
+        opens = words.first[:-1][words.counts > 0]
+        start[opens] = words.offsets[:-1][words.counts > 0]
+        end = words.end
+        # White space behind the last word is a piece of its own; a text whose split is not proven is one piece.
+        last = words.offsets[:-1].copy()
+        last[words.counts > 0] = words.end[words.first[1:][words.counts > 0] - 1]
+        more_text = np.flatnonzero(words.offsets[1:] > last)
+        more_start, more_end = last[more_text], words.offsets[1:][more_text]
+        odd = np.unique([np.searchsorted(words.offsets, m.start(), "right") - 1 for m in _UNPROVEN.finditer(raw)]).astype(np.int64)
+        if len(odd):
+            stays, more_stays = ~np.isin(text, odd), ~np.isin(more_text, odd)
+            text, start, end = text[stays], start[stays], end[stays]
+            more_text = np.concatenate([more_text[more_stays], odd])
+            more_start, more_end = np.concatenate([more_start[more_stays], words.offsets[odd]]), np.concatenate([more_end[more_stays], words.offsets[odd + 1]])
+        if len(more_text):
+            text, start, end = np.concatenate([text, more_text]), np.concatenate([start, more_start]), np.concatenate([end, more_end])
+            order = np.lexsort((start, text))
+            text, start, end = text[order], start[order], end[order]
+        return np.searchsorted(text, np.arange(n + 1)), start, end, words.hash_of(start, end)
+
+    def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first text, end text, ids of these texts, where each text's begin and the last's end) of bounded runs of a string column; null is empty."""
+        data, offsets = wk.string_buffers(column)
+        for low, high in wk.runs(offsets, RUN_BYTES):
+            own = offsets[low : high + 1]
+            words = wk.scan(np.ascontiguousarray(data[own[0] : own[-1]]), own - own[0], lower=False)
+            raw = words.data.tobytes()
+            first, start, end, hashes = self._pieces(words, raw)
+            slot = self._slots_of(hashes, start, end, raw)
+            length = self._length[slot]
+            ends = np.zeros(len(slot) + 1, np.int64)
+            np.cumsum(length, out=ends[1:])
+            ids = self._pool[np.repeat(self._start[slot] - ends[:-1], length) + np.arange(ends[-1])]
+            yield low, high, ids, ends[first]
+
 
 @functools.cache
 def encoder(name: str, style: str) -> PieceEncoder:
     """A process's encoder of one public vocabulary file."""
-    import os
-
     import public_tokenizers
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
