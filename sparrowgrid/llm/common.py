@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of an Arrow batch, at most.
+BATCH_ROWS = 2_000
+#: Bits of the membership bitmap, 2 MB in a task's closure whatever the members' number.
+MEMBER_BITS = 1 << 24
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +50,14 @@ def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bounded_batches(rows: DataFrame) -> DataFrame:
+    """``rows``, in a session whose Arrow batches hold BATCH_ROWS rows at most: texts are long, and a batch is copied on both sides."""
+    conf = rows.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return rows
+
+
 def on_batches(function: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A ``mapInArrow`` function from one that maps a batch."""
 
@@ -51,3 +67,41 @@ def on_batches(function: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> C
                 yield out
 
     return run
+
+
+def _bits_of(numbers: np.ndarray) -> np.ndarray:
+    from .wordkernel import mix
+
+    return (mix(numbers.view(np.uint64)) >> np.uint64(40)).astype(np.int64)
+
+
+def _positions(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(_bits_of(batch.column(0).to_numpy(zero_copy_only=False)))], names=["bit"])
+
+
+def _maybe_member(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    numbers = batch.column(0)
+    keep = bits[_bits_of(numbers.fill_null(0).to_numpy(zero_copy_only=False))]
+    return batch.filter(pa.array(keep & ~numbers.is_null().to_numpy(zero_copy_only=False)))
+
+
+def only_members(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose first column (a long) is not among ``members`` (one column of longs); none that is goes.
+
+    A bitmap of MEMBER_BITS is gathered natively in pieces of 32,768 bits. With far more members it lets all rows pass, and the
+    join that follows is what it would be without it.
+    """
+    at = members.mapInArrow(on_batches(_positions), "bit long")
+    pieces = at.groupBy(F.bitmap_bucket_number("bit").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    bits = np.zeros(MEMBER_BITS + 65_536, bool)
+    for row in pieces.collect():  # MEMBER_BITS / 32,768 rows at most
+        own = np.unpackbits(np.frombuffer(row.bits, np.uint8), bitorder="little")
+        # Piece 0 holds bit 0 alone, piece k the 32,768 bits from 32,768 (k - 1) + 1 on.
+        start = (row.piece - 1) * 32_768 + 1 if row.piece else 0
+        bits[start : start + len(own)] |= own.astype(bool)
+    packed = np.packbits(bits)
+    return rows.mapInArrow(on_batches(functools.partial(_unpacked, packed=packed)), rows.schema)
+
+
+def _unpacked(batch: pa.RecordBatch, packed: np.ndarray) -> pa.RecordBatch:
+    return _maybe_member(batch, np.unpackbits(packed).astype(bool))
