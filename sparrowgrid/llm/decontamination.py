@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordkernel as wk
-from .common import on_batches
+from .common import bounded_batches, on_batches
 
 SIMILARITY, MIN_WORDS = 0.8, 5
 BITS, WALKS, FAR, RECALL = 3, 4, 0.5, 0.98
@@ -247,7 +247,7 @@ def blocks_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text"
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row for each document and item that leaked into it, with the best passage's similarity and place."""
-    two = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    two = bounded_batches(docs).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     found = [two.mapInArrow(on_batches(functools.partial(_leaks, bench=b)), LEAKS) for b in blocks_of(benchmark, block_chars=block_chars)]
     return functools.reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], LEAKS)
 
@@ -255,5 +255,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` into which no item leaked, with their columns as they are."""
     for b in blocks_of(benchmark, block_chars=block_chars):
-        docs = docs.mapInArrow(on_batches(functools.partial(_without, text=text, bench=b)), docs.schema)
+        docs = bounded_batches(docs).mapInArrow(on_batches(functools.partial(_without, text=text, bench=b)), docs.schema)
     return docs

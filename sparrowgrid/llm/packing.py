@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import shared_path, staged
+from .common import bounded_batches, shared_path, staged
 
 LENGTH, GRID = 2048, 4
 #: Offsets of tasks' ranks are broadcast up to this number of rows (24 bytes each), and joined beyond.
@@ -241,7 +241,7 @@ def _place(batches: Iterator[pa.RecordBatch], plan: Plan, end: dict[tuple[int, i
 def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", style: str = tokens.BYTE_LEVEL, end_id: int = 1, length: int = LENGTH, grid: int = GRID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each piece of each document: its place in the document, its sequence and its offset there."""
     spark = docs.sparkSession
-    two = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    two = bounded_batches(docs).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     path = shared_path(spark, "packing-ids")
     encoded = two.mapInArrow(functools.partial(_encode, vocabulary=vocabulary, style=style, end_id=end_id, length=length, grid=grid), ENCODED)
     encoded.write.option("compression", "zstd").parquet(path)

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from . import wordkernel as wk
-from .common import on_batches
+from .common import bounded_batches, on_batches
 
 SYMBOLS = "#*$%&|<>"
 
@@ -145,11 +145,11 @@ def _good(batch: pa.RecordBatch, text: str, bands: tuple[Band, ...]) -> pa.Recor
 
 def assess(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: tuple[Band, ...] = BANDS) -> DataFrame:
     """A row of figures and verdicts for each row of ``docs``: ``doc_id`` and :data:`METRICS`."""
-    two = docs.select(docs[doc_id].alias("id"), docs[text].alias("text"))
+    two = bounded_batches(docs).select(docs[doc_id].alias("id"), docs[text].alias("text"))
     kind = two.schema["id"].dataType.simpleString()
     return two.mapInArrow(on_batches(functools.partial(_assess, bands=bands)), f"id {kind}, {METRICS}").withColumnRenamed("id", doc_id)
 
 
 def keep_good(docs: DataFrame, text: str = "text", bands: tuple[Band, ...] = BANDS) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns as they are."""
-    return docs.mapInArrow(on_batches(functools.partial(_good, text=text, bands=bands)), docs.schema)
+    return bounded_batches(docs).mapInArrow(on_batches(functools.partial(_good, text=text, bands=bands)), docs.schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import elias_fano, tokens
-from .common import partitions, shared_path, staged
+from .common import bounded_batches, partitions, shared_path, staged
 
 FILE_IDS = 16 << 20
 MANIFEST = "part long, seq long, name string, n_docs long, n_ids long"
@@ -75,7 +75,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, style: str, end_id: int,
     """Write ``docs`` as token files under ``path`` (a URI); returns the manifest: a row for each file, in no order."""
     store, root = fs.FileSystem.from_uri(path)
     store.create_dir(root, recursive=True)
-    two = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    two = bounded_batches(docs).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     # The second key parts a number that many rows bear.
     ordered = two.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
     return staged(ordered.mapInArrow(functools.partial(_write_files, path=path, vocabulary=vocabulary, style=style, end_id=end_id, file_ids=file_ids), MANIFEST), "token-manifest")

@@ -33,6 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 VERSION = "WARC/1.1"
 RECORD = "record_id string, type string, target_uri string, date string, refers_to string, headers string, content binary"
 _NAMES = [x.split()[0] for x in RECORD.split(", ")]
@@ -127,7 +129,7 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def derivatives(records: DataFrame) -> DataFrame:
     """The derived records of the response records among ``records`` (columns of RECORD)."""
-    return records.filter("type = 'response'").select("record_id", "target_uri", "date", "headers", "content").mapInArrow(_derive, RECORD)
+    return bounded_batches(records).filter("type = 'response'").select("record_id", "target_uri", "date", "headers", "content").mapInArrow(_derive, RECORD)
 
 
 def responses_of(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", date: str = "2024-01-01T00:00:00Z") -> DataFrame:
