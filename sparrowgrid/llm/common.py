@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch, at most.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 500
 #: Bits of the membership bitmap, 2 MB in a task's closure whatever the members' number.
 MEMBER_BITS = 1 << 24
 

@@ -147,11 +147,11 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text", count: str = "n_p
     name = f"`{text}`"
     worth = F.col(name).rlike("[0-9@]|[0-9A-Fa-f]{32}")
     found = F.when(worth, F.regexp_extract_all(name, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    step = docs.select(*[F.col(f"`{c}`") for c in docs.columns], found.alias("pii_found"))
-    step = step.withColumn("pii_new", F.transform("pii_found", lambda m: pseudonym(m, key)))
+    step = docs.select(*[F.col(f"`{c}`") for c in docs.columns], found.alias("__pii_found"))
+    step = step.withColumn("__pii_new", F.transform("__pii_found", lambda m: pseudonym(m, key)))
     gaps = F.split(F.col(name), ANY, -1)
-    filled = F.concat(F.zip_with("pii_found", "pii_new", lambda m, p: F.coalesce(p, m)), F.array(F.lit("")))
+    filled = F.concat(F.zip_with("__pii_found", "__pii_new", lambda m, p: F.coalesce(p, m)), F.array(F.lit("")))
     whole = F.array_join(F.flatten(F.zip_with(gaps, filled, lambda g, m: F.array(g, m))), "")
-    new = F.when(F.size("pii_found") > 0, whole).otherwise(F.col(name))
+    new = F.when(F.size("__pii_found") > 0, whole).otherwise(F.col(name))
     columns = [new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return step.select(*columns, F.size(F.filter("pii_new", lambda p: p.isNotNull())).cast("long").alias(count))
+    return step.select(*columns, F.size(F.filter("__pii_new", lambda p: p.isNotNull())).cast("long").alias(count))
