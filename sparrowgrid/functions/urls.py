@@ -203,3 +203,9 @@ def lead_kind(url: Column) -> Column:
         .when(host.isin(*STOREFRONTS) | F.endswith(host, F.lit("." + STOREFRONT_PARENT)), "storefront_product")
         .when(host.contains(".") & ~private, "publisher_site")
     )
+
+
+def join_endpoint(base: Column, path: Column) -> Column:
+    """A path below a base URL, whose own path stays (F-37)."""
+    root, own = F.regexp_extract(base, r"^([^:]+://[^/?#]+)", 1), F.regexp_replace(F.regexp_extract(base, r"^[^:]+://[^/?#]+([^?#]*)", 1), "/+$", "")
+    return F.concat(root, own, F.lit("/"), F.regexp_replace(path, "^/+", ""))

@@ -7,9 +7,22 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.policy import is_reserved_v4
+from ..functions.urls import is_itch_search
+from ..sources.responses import gate
+
 # Bounds of an observation's fields, as (least, most) characters or elements.
 OBSERVATION_BOUNDS = {"source_item_key": (1, 200), "title": (1, 500), "author": (1, 300), "summary": (0, 1024), "outbound_links": (0, 100), "platform_tags": (0, 50)}
 TAG_BOUND = (1, 100)
+# Bounds of the fields of other requests, and of a seed's delay (ms).
+REQUEST_BOUNDS = {
+    "search": {"query": (0, 200), "category": (0, 100), "tags": (0, 20)},
+    "report": {"query": (0, 200), "target_url": (0, 1000), "category": (0, 100)},
+    "takedown": {"reason": (1, 1000), "target_url": (0, 1000), "contact_email": (0, 320)},
+    "rule": {"path_scope": (1, 1000), "reason": (1, 300), "review_reference": (1, 300)},
+    "profile": {"path_scope": (1, 1000), "reason": (1, 300), "review_reference": (1, 300), "retain_classes": (0, 4), "publish_classes": (0, 4)},
+}
+SEED_DELAY_MS = (0, 86_400_000)
 
 
 def first_reason(checks: Sequence[tuple[str, Column]]) -> Column:
@@ -44,6 +57,22 @@ def observation_checks(rows: DataFrame, bounds: Mapping[str, tuple[int, int]] =
     return checks
 
 
+def seed_checks(now: Column) -> list[tuple[str, Column]]:
+    """A seed's rejections in order (P-23): over a row with platform, purpose, url, origin, min_delay_ms, the suppression and the rule it
+    names (suppressed, rule_id, rule_expires_at, rule_disabled_at), and the job that has its URL (job_platform, job_purpose)."""
+    c = F.col
+    alive = c("rule_disabled_at").isNull() & (c("rule_expires_at") > now)
+    return [
+        ("not_https", c("url").rlike(r"^https://[^/:@?#]+(?::443)?(?:[/?][^#]*)?$")),
+        ("not_public", ~c("url").rlike(r"^https://(?:localhost|[^/]*\.(?:local|internal))(?:[:/?]|$)") & ~(c("url").rlike(r"^https://[0-9.]+(?:[:/?]|$)") & is_reserved_v4(F.regexp_extract("url", r"^https://([0-9.]+)", 1)))),
+        ("target_class", gate(c("platform"), c("purpose"), c("url"), c("origin")).isNull() & ~is_itch_search(c("url"))),
+        ("delay", c("min_delay_ms").between(*SEED_DELAY_MS)),
+        ("suppressed", ~F.coalesce(c("suppressed"), F.lit(False))),
+        ("rule_ended", c("rule_id").isNull() | alive),
+        ("contract", c("job_platform").isNull() | ((c("job_platform") == c("platform")) & (c("job_purpose") == c("purpose")))),
+    ]
+
+
 def submission_checks() -> list[tuple[str, Column]]:
     """A result's rejections in order (P-22): over a joined row with credential_, lease_ and profile_ columns."""
     c = F.col

@@ -8,6 +8,23 @@ from pyspark.sql import functions as F
 # The market's tags and their numbers of pages.
 ITCH_TAGS = (("tag-vrchat", 15), ("tag-udon", 10), ("tag-vrchat-avatar", 10))
 
+# Candidate jobs, as URL, platform, least delay (ms) and purpose. They grant nothing.
+CANDIDATES = (
+    ("https://vrchat-community.github.io/template-package/index.json", "vpm", 1000, "discovery"),
+    ("https://raw.githubusercontent.com/vrchat-community/template-package-listing/main/source.json", "vpm", 1000, "discovery"),
+    ("https://booth.pm/ja/items/456789", "booth", 1500, "metadata"),
+    ("https://gumroad.com/l/sample-vrc-asset", "gumroad", 3000, "metadata"),
+    ("https://jinxxy.com/p/sample-vrc-tool", "jinxxy", 2000, "metadata"),
+    ("https://sellfy.com/p/sample-vrc-prefab/", "sellfy", 2000, "metadata"),
+    ("https://payhip.com/b/sample-vrc-item", "custom_domain", 2000, "metadata"),
+)
+
+
+def candidate_jobs(spark: SparkSession) -> DataFrame:
+    """Candidate jobs of a fresh installation (S-14), with their origin."""
+    rows = spark.createDataFrame(list(CANDIDATES), "url string, platform string, min_delay_ms long, purpose string")
+    return rows.withColumn("origin", F.regexp_extract("url", "^https://[^/]+", 0))
+
 
 def itch_seed_urls(spark: SparkSession) -> DataFrame:
     """The market's tag pages (S-14)."""

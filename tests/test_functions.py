@@ -149,3 +149,8 @@ def test_cursors():
     assert codecs.decode_cursor("catalog", text) == {"createdAt": "2024-01-01T00:00:00.000Z", "canonicalId": "a"}
     for bad in ("", "x", text + "=", text[:-1], "e30", None, codecs.encode_cursor("leads", firstSeenAt="a", leadKey="b")):
         assert codecs.decode_cursor("catalog", bad) is None
+
+
+def test_endpoint(one):
+    assert one(urls.join_endpoint, "https://e.example/base/", "/v1/x") == "https://e.example/base/v1/x"
+    assert one(urls.join_endpoint, "https://e.example", "v1") == "https://e.example/v1"

@@ -229,3 +229,12 @@ def test_change_feed(spark):
 def test_ordered_distinct(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("a", 3, "z")], "k string, pos int, v string")
     assert rows(paging.ordered_distinct(df, ["k"], "pos")) == [("a", 1, "z"), ("b", 2, "y")]
+
+
+def test_seed_guards(spark):
+    names = "url string, platform string, purpose string, origin string, min_delay_ms long, suppressed boolean, rule_id string, rule_expires_at timestamp, rule_disabled_at timestamp, job_platform string, job_purpose string"
+    good = {"url": "https://a.example/x", "platform": "custom_domain", "purpose": "metadata", "origin": "https://a.example", "min_delay_ms": 1}
+    cases = [({}, None), ({"url": "http://a.example/x"}, "not_https"), ({"url": "https://10.0.0.1/x"}, "not_public"), ({"url": "https://a.example/"}, "target_class"), ({"min_delay_ms": -1}, "delay"), ({"suppressed": True}, "suppressed"), ({"rule_id": "r", "rule_expires_at": T}, "rule_ended"), ({"job_platform": "booth", "job_purpose": "metadata"}, "contract")]
+    rows_ = spark.createDataFrame([tuple((good | c).get(n.split()[0]) for n in names.split(", ")) for c, _ in cases], names)
+    got = rows_.withColumn("r", guards.first_reason(guards.seed_checks(F.lit("2024-06-01").cast("timestamp")))).collect()
+    assert [r["r"] for r in got] == [r for _, r in cases]
