@@ -18,12 +18,17 @@ BATCH_ROWS = 500
 MEMBER_BITS = 1 << 24
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one is set only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where it is unset, as in tests, a local one is made."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='sparrowgrid-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        if application not in _own_folders:
+            _own_folders[application] = f"file://{tempfile.mkdtemp(prefix='sparrowgrid-')}"
+        folder = _own_folders[application]
     return folder.rstrip("/")
 
 

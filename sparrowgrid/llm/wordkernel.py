@@ -8,6 +8,8 @@ machine and in every process.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +25,16 @@ _VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uin
 _LOWERED = _VALUES.copy()
 _LOWERED[65:91] = _VALUES[97:123]
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
-CHUNK = 2 << 20
+CHUNK = 1 << 20
+
+
+def _return_memory() -> None:
+    """Let the C library give large blocks back when they are freed, as an executor's workers live for many tasks."""
+    with contextlib.suppress(AttributeError, OSError, TypeError):
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD of glibc; elsewhere there is no such call
+
+
+_return_memory()
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -4,6 +4,7 @@ import collections
 import datetime
 import hashlib
 import io
+import random
 import re
 import sys
 from pathlib import Path
@@ -274,6 +275,22 @@ def test_pipeline(spark, tmp_path):
     assert names == ["quality rules", "line dedup", "near duplicates", "decontamination", "packing"]
 
 
+def test_pipeline_other_cases(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, ties; then an empty table."""
+    rng = random.Random(6)
+    long = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(30_000))
+    mid = " ".join(f"term{k * 31 % 997}y{k % 61}" for k in range(400))
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, long, None, "s", None), (2, long, None, "s", None), (None, mid, "fr", None, 1), (3, mid, "fr", "s", 1), (4, " \n\t ", "", "", 3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, data in (("some", rows), ("none", [])):
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, None), (None, "x")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    got = corpus_pipeline.run(spark, f"{tmp_path}/some").collect()
+    assert {r.doc_id for r in got} == {None, 2, 3}
+    assert sum(r.length for r in got if r.doc_id == 2) == 2 * next(r.doc_tokens for r in got if r.doc_id == 2)
+
+
 def test_registered():
     assert sorted(queries.queries()) == sorted(["op1_decontamination", "op2_chat_format", "op3_pii", "op4_quality_rules", "op5_line_dedup", "op6_url_filter", "op7_token_output", "op8_warc", "op9_ngram_join", "op10_packing", "pipeline"])
     assert set(queries.oracle_sql()) <= set(queries.queries())
