@@ -45,7 +45,10 @@ class Catalog:
 
 @pytest.fixture
 def catalog(spark, tmp_path):
-    return Catalog(spark, tmp_path)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield Catalog(spark, tmp_path)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_listing_repository_storefront(catalog):
