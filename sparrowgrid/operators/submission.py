@@ -7,6 +7,8 @@ together (:func:`~sparrowgrid.operators.upsert.publish`).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,24 +55,25 @@ def project(items: DataFrame, stored: DataFrame, seen: DataFrame, gone: DataFram
     return projected.withColumn("version_no", F.col("version_no") + F.coalesce(F.col("base") - 1, F.lit(0)))
 
 
-def apply_batch(state: dict[str, DataFrame], results: DataFrame, observations: DataFrame, issues: DataFrame, leads: DataFrame) -> dict[str, DataFrame]:
+def apply_batch(state: dict[str, DataFrame], results: DataFrame, observations: DataFrame, issues: DataFrame, leads: DataFrame, stage: Callable[[DataFrame, str], DataFrame] = lambda frame, name: frame) -> dict[str, DataFrame]:
     """The state after a batch (D-1 to D-12).
 
     ``results``: lease_id, job_id, node_id, idempotency_key, request_digest, submitted_at, outcome, retry_after_seconds.
     ``observations``: lease_id, position, item_key and FACTS. ``issues``: lease_id, source_item_key, version, code.
-    ``leads``: lease_id, kind, url, claimed_package_id. Results whose lease has a receipt already are left out.
+    ``leads``: lease_id, kind, url, claimed_package_id. Results whose lease has a receipt already are left out. ``stage`` gets the frames
+    that several outputs need (see :func:`~sparrowgrid.operators.upsert.stager`).
     """
     s, out = dict(state), dict(state)
     fresh = upsert.receipts(results, s["job_results"]).filter("verdict = 'new'").drop("verdict")
     jobs = s["crawl_jobs"]
-    seen = observed(fresh, observations, jobs, issues)
+    seen = stage(observed(fresh, observations, jobs, issues), "seen")
     lost = fresh.filter("outcome = 'gone'").join(jobs.select("job_id", "platform", "url"), "job_id")
     gone = lost.join(s["source_items"].select("source_key", "platform", F.col("source_url").alias("url")), ["platform", "url"]).select("source_key", "submitted_at", "lease_id")
 
     # Versions, events, items.
     projected = project(s["source_items"], s["source_versions"], seen, gone)
     facts = seen.select("source_key", F.struct(F.lit(2).alias("k"), F.col("submitted_at").alias("s"), F.col("lease_id").alias("l"), F.col("position").cast("long").alias("p")).alias("seq"), "job_id", "platform", "url", F.to_json(F.struct(*FACTS), {"ignoreNullFields": "false"}).alias("payload_json"))
-    rows = projected.join(facts, ["source_key", "seq"], "left")
+    rows = stage(projected.join(facts, ["source_key", "seq"], "left"), "versions")
     news = rows.filter("is_new").select(key_of(F.col("source_key"), F.col("version_no")).alias("version_id"), "source_key", "version_no", "digest", "payload_json", F.col("seq.s").alias("observed_at"), "complete", F.col("seq.l").alias("submission_lease_id"))
     out["source_versions"] = s["source_versions"].unionByName(_fit("source_versions", news))
     told = rows.filter("not gone").select(key_of(F.col("source_key"), F.col("seq.l"), F.col("seq.p")).alias("event_id"), "job_id", "source_key", F.col("event").alias("kind"), F.col("seq.s").alias("observed_at"))
@@ -79,21 +82,21 @@ def apply_batch(state: dict[str, DataFrame], results: DataFrame, observations: D
     last = rows.groupBy("source_key").agg(F.max_by(F.struct("platform", F.col("url").alias("source_url")), F.when(F.col("platform").isNotNull(), F.col("seq"))).alias("w"), F.max("version_no").alias("latest_version_no"), F.max_by("digest", F.when(F.col("is_new"), F.col("seq"))).alias("latest_digest"), F.max_by("gone", F.when(F.col("gone") | F.col("complete"), F.col("seq"))).alias("is_gone"), F.max(F.when(F.col("gone"), F.col("seq.s"))).alias("gone_time"))
     before = s["source_items"].withColumnRenamed("gone_at", "old_gone").select("source_key", F.col("platform").alias("p"), F.col("source_url").alias("u"), F.col("latest_digest").alias("d"), "old_gone")
     items = last.join(before, "source_key", "left").select("source_key", F.coalesce("w.platform", "p").alias("platform"), F.coalesce("w.source_url", "u").alias("source_url"), F.coalesce("latest_digest", "d").alias("latest_digest"), "latest_version_no", F.when(F.col("is_gone").isNull(), F.col("old_gone")).when(F.col("is_gone"), F.coalesce("gone_time", "old_gone")).alias("gone_at"))
-    out["source_items"] = upsert.upsert(s["source_items"], _fit("source_items", items), ["source_key"], [F.col("latest_version_no")])
+    out["source_items"] = stage(upsert.upsert(s["source_items"], _fit("source_items", items), ["source_key"], [F.col("latest_version_no")]), "items")
     found = issues.join(fresh.select("lease_id", "job_id", "submitted_at"), "lease_id").select(key_of(F.col("job_id"), F.col("source_item_key"), F.col("version"), F.col("code"), F.col("submitted_at")).alias("issue_id"), "job_id", "source_item_key", F.col("version").alias("version_key"), "code", F.col("submitted_at").alias("observed_at"))
     out["source_issues"] = s["source_issues"].unionByName(_fit("source_issues", found))
 
     # Packages and links. The last observation of a key in the batch speaks for it.
-    current = upsert.latest(seen, ["source_key"], _order())
+    current = stage(upsert.latest(seen, ["source_key"], _order()), "current")
     listed, listing_links = identity.canonical_from_listing(current)
     old_leads, old_links = s["source_leads"], s["identity_links"]
-    matches = identity.storefront_matches(current, s["source_items"], old_leads, old_links)
+    matches = stage(identity.storefront_matches(current, s["source_items"], old_leads, old_links), "matches")
     built, built_links = identity.storefront_bootstrap(current, matches)
     packages = upsert.merge(s["canonical_packages"], _fit("canonical_packages", upsert.latest(listed, ["canonical_id"], [F.col("updated_at"), F.col("display_name")])), ["canonical_id"], keep_old=["created_at", "lifecycle"], keep_if_null=["vpm_id", "published_at", "timestamp_confidence"])
     built = upsert.latest(built, ["canonical_id"], [F.col("updated_at"), F.col("display_name")])
     packages = upsert.merge(packages, _fit("canonical_packages", built), ["canonical_id"], keep_old=["umbrella", "category", "lifecycle", "vpm_id", "created_at", "published_at", "timestamp_confidence"])
     links = identity.union([_fit("identity_links", x) for x in (listing_links, identity.repository_matches(current, old_leads, old_links), identity.storefront_links(matches, old_links), built_links)])
-    out["identity_links"] = old_links.unionByName(upsert.insert_ignore(old_links, links, ["link_id"], [F.col("created_at")]))
+    out["identity_links"] = stage(old_links.unionByName(upsert.insert_ignore(old_links, links, ["link_id"], [F.col("created_at")])), "links")
 
     # Fronts, evidence, leads.
     store = current.filter(F.col("platform").isin(*STOREFRONTS) | F.col("price").isNotNull())
@@ -108,7 +111,7 @@ def apply_batch(state: dict[str, DataFrame], results: DataFrame, observations: D
 
     # Gone sources, jobs, receipts.
     dead = out["source_items"].filter("gone_at is not null").join(gone.select("source_key").distinct(), "source_key", "left_semi").select("source_key", "gone_at")
-    out["package_fronts"] = lifecycle.delist_fronts(fronts, dead)
+    out["package_fronts"] = stage(lifecycle.delist_fronts(fronts, dead), "fronts")
     at = dead.agg(F.max("gone_at").alias("t"))
     delisted = lifecycle.delist_packages(packages.crossJoin(F.broadcast(at)), out["package_fronts"], dead, F.coalesce("t", "updated_at"))  # one row
     out["canonical_packages"] = _fit("canonical_packages", delisted)

@@ -7,7 +7,8 @@ rather than by windows, which don't.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,3 +106,14 @@ def published(spark, path: str, name: str) -> DataFrame:
     """A frame of the batch that the pointer names."""
     batch = spark.read.json(f"{path}/current").first()["batch"]
     return spark.read.parquet(f"{path}/batches/{batch}/{name}")
+
+
+def stager(path: str) -> Callable[[DataFrame, str], DataFrame]:
+    """A function that writes a frame under ``path`` and reads it back: what several outputs need is computed once, and a lost executor loses nothing."""
+
+    def stage(frame: DataFrame, name: str) -> DataFrame:
+        place = f"{path}/{name}-{uuid.uuid4().hex}"
+        frame.write.parquet(place)
+        return frame.sparkSession.read.schema(frame.schema).parquet(place)
+
+    return stage

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from sparrowgrid import schemas
-from sparrowgrid.operators import submission
+from sparrowgrid.operators import submission, upsert
 
 T = datetime(2024, 1, 1)
 NAMES = ("crawl_jobs", "source_items", "source_versions", "source_events", "source_issues", "source_leads", "canonical_packages", "identity_links", "package_fronts", "avatar_compatibilities", "desktop_tool_evidence", "job_results")
@@ -34,7 +34,7 @@ class Catalog:
                 seen.append((lease, k, *[(base | o).get(c.split()[0]) for c in SEEN.split(", ")[2:]]))
             issues += [(lease, i, "1.0.0", "invalid_manifest") for i in bad]
         f = self.spark.createDataFrame
-        new = submission.apply_batch(self.state, f(rs, RESULT), f(seen, SEEN), f(issues, "lease_id string, source_item_key string, version string, code string"), f([], "lease_id string, kind string, url string, claimed_package_id string"))
+        new = submission.apply_batch(self.state, f(rs, RESULT), f(seen, SEEN), f(issues, "lease_id string, source_item_key string, version string, code string"), f([], "lease_id string, kind string, url string, claimed_package_id string"), upsert.stager(f"{self.tmp}/stage"))
         for name in NAMES:  # published, so that the next batch reads files
             new[name].write.mode("overwrite").parquet(f"{self.tmp}/{self.n}/{name}")
         self.state = {n: self.spark.read.schema(new[n].schema).parquet(f"{self.tmp}/{self.n}/{n}") for n in NAMES}
