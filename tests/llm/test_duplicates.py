@@ -95,7 +95,9 @@ def test_join_by_chains_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "FREQUENT", 2)
     monkeypatch.setattr(ngram_join, "UNIT_NGRAMS", 1000)
     monkeypatch.setattr(ngram_join, "UNIT_DOCS", 4)
-    rows = corpus(3, groups=4, size=30)
+    monkeypatch.setattr(ngram_join, "LARGE_ROWS", 2)
+    copies = corpus(3, groups=4, size=30)
+    rows = copies + [(1000 + k, copies[0][1]) for k in range(9)]
     assert joined(spark, rows, width=5, percent=80) == brute_join(rows, 5, 80)
 
 
