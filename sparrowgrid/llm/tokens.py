@@ -24,8 +24,8 @@ import pyarrow as pa
 from . import wordkernel as wk
 
 #: About 30 bytes each, and as much again while new ones are added.
-TABLE_PIECES = 1_000_000
-RUN_BYTES = 1 << 20
+TABLE_PIECES = 2_000_000
+RUN_BYTES = 2 << 20
 END_OF_WORD, BYTE_LEVEL = "end_of_word", "byte_level"
 _TOGETHER = 512
 _WIDE_SPACE = rb"(?:\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)"
