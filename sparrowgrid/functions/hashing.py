@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -77,19 +78,38 @@ def simhash_tokens(text: str | None) -> dict[str, int]:
     return counts
 
 
+@lru_cache(maxsize=1 << 17)
+def _signs(token: str) -> np.ndarray:
+    """A token's vote for each bit: 1 or -1. Tokens repeat, so a worker keeps those it met."""
+    bits = np.unpackbits(np.frombuffer(fnv1a64(token).to_bytes(8, "little"), np.uint8), bitorder="little")
+    return 2.0 * bits - 1
+
+
 def simhash64(text: str | None) -> int:
-    """A 64-bit SimHash; each vote is added to an integer, so fractions are cut towards zero step by step (A-10)."""
-    votes = np.zeros(64)
+    """A 64-bit SimHash; each vote is added to an integer, so fractions are cut towards zero step by step (A-10).
+
+    Whole votes commute with each other, so those between two fractional ones are added together.
+    """
+    votes, signs, weights = np.zeros(64), [], []
     for token, count in simhash_tokens(text).items():
-        bits = (fnv1a64(token) >> np.arange(64, dtype=object)) & 1
-        votes = np.trunc(votes + np.where(bits.astype(bool), 1, -1) * WEIGHTS.get(token, 1.0) * min(count, MOST_COUNTED))
-    return sum(1 << k for k in range(64) if votes[k] > 0)
+        weight = WEIGHTS.get(token, 1.0) * min(count, MOST_COUNTED)
+        if weight.is_integer():
+            signs.append(_signs(token))
+            weights.append(weight)
+            continue
+        if signs:
+            votes += np.array(weights) @ np.array(signs)
+            signs, weights = [], []
+        votes = np.trunc(votes + weight * _signs(token))
+    if signs:
+        votes += np.array(weights) @ np.array(signs)
+    return int.from_bytes(np.packbits(votes > 0, bitorder="little").tobytes(), "little")
 
 
 @arrow_function("long")
 def simhash(text: pd.Series) -> pd.Series:
     """:func:`simhash64` in Arrow batches, as a signed long."""
-    return text.map(lambda t: simhash64(t) - ((1 << 64) if simhash64(t) >> 63 else 0)).astype("int64")
+    return pd.Series(np.array([simhash64(t) for t in text], np.uint64).view(np.int64))
 
 
 def hamming(a: Column, b: Column) -> Column:
