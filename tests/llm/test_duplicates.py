@@ -261,3 +261,29 @@ def test_embedding_follows_edits():
     e = decontamination.walk([base, near, far], 600, 1)
     assert (e[0] != e[1]).mean() < 0.3 < (e[0] != e[2]).mean()
     assert decontamination.bands_for(0.98, 0.5, 3) == 30
+
+
+def test_lines_found_by_edits_alone(spark):
+    """Of pairs with edit similarity 0.9 or more, whatever their SimHashes, one line goes: all of those with a changed word, most of those with scattered edits."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    rows, kind = [], {}
+    for k in range(400):
+        words = [rng.choice(vocabulary) for _ in range((10, 27, 60, 100)[k % 4])]
+        line = " ".join(words)
+        if k % 2 == k // 4 % 2:
+            words[rng.randrange(len(words))] = rng.choice([w for w in vocabulary if len(w) <= 4])
+            other, name = " ".join(words), "word"
+        else:
+            other, name = list(line), "scattered"
+            for j in rng.sample(range(len(line)), int(0.07 * len(line))):
+                other[j] = rng.choice("etaoinshrdlucm")
+            other = "".join(other)
+        if line != other and line_dedup.similar(line, other):
+            rows += [(2 * k, line), (2 * k + 1, other)]
+            kind[2 * k + 1] = name
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert all(got[d] == t for d, t in rows if d not in kind)
+    for name, least in (("word", 1.0), ("scattered", 0.85)):
+        own = [d for d, x in kind.items() if x == name]
+        assert len(own) > 100 and sum(got[d] == "" for d in own) >= least * len(own), (name, len(own), sum(got[d] == "" for d in own))
