@@ -7,7 +7,7 @@ may begin with a blank, but none spans the border from a non-space to a space. A
 Scanning, hashing, looking up and putting together are array operations on whole batches.
 
 Where another white space character than ASCII's stands before an ASCII one, the split is not proven, and such a
-text is one piece. Ids are kept as little-endian unsigned 16-bit integers: both vocabularies have fewer than 65,536
+text is one piece; so is a text with the string of an added token, which the library looks for before it splits. Ids are kept as little-endian unsigned 16-bit integers: both vocabularies have fewer than 65,536
 entries.
 """
 
@@ -40,10 +40,12 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         if self._tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary need more than 16 bits")
         self._style = style
+        # In any case of letters, as a normaliser may lower them first.
+        added = [re.escape(x.content.encode()) for x in self._tokenizer.get_added_tokens_decoder().values()]
+        self._added = re.compile(b"|".join(added) or rb"(?!)", re.IGNORECASE)
         size = np.zeros(1 << 16, np.int64)
         for token, k in self._tokenizer.get_vocab(with_added_tokens=False).items():
             size[k] = len(token.removesuffix("</w>") if style == END_OF_WORD else token)  # a character for each byte
@@ -60,11 +62,11 @@ class PieceEncoder:
     def _learn(self, pieces: list[bytes]) -> list[np.ndarray]:
         """The ids of each piece. Many pieces go into one call; where a piece's ids end follows from the bytes that each id
         stands for. Pieces that could merge with a neighbour are encoded alone."""
-        plain = list(range(len(pieces)))
+        plain = [k for k, p in enumerate(pieces) if not self._added.search(p)]
         out: list[np.ndarray | None] = [None] * len(pieces)
         if self._style == BYTE_LEVEL:
             space = b" \t\n\v\f\r"
-            plain = [k for k, p in enumerate(pieces) if p[:1] in space and p[-1:] not in space]
+            plain = [k for k in plain if pieces[k][:1] in space and pieces[k][-1:] not in space]
         groups, texts, sizes = [], [], []
         for k in range(0, len(plain), _TOGETHER):
             some = plain[k : k + _TOGETHER]
@@ -118,21 +120,25 @@ class PieceEncoder:
 
     def _pieces(self, words: wk.Words, raw: bytes) -> tuple[np.ndarray, ...]:
         """(first piece of each text, start, end, hash) of a run of texts."""
-        if self._style == END_OF_WORD:
+        hits = [m.start() for m in self._added.finditer(raw)]
+        if self._style == END_OF_WORD and not hits:
             return words.first, words.start, words.end, words.hash
         n = len(words.offsets) - 1
         text = words.text_of()
-        start = np.empty_like(words.start)
-        start[1:] = words.end[:-1]
-        opens = words.first[:-1][words.counts > 0]
-        start[opens] = words.offsets[:-1][words.counts > 0]
-        end = words.end
-        # White space behind the last word is a piece of its own; a text whose split is not proven is one piece.
-        last = words.offsets[:-1].copy()
-        last[words.counts > 0] = words.end[words.first[1:][words.counts > 0] - 1]
-        more_text = np.flatnonzero(words.offsets[1:] > last)
-        more_start, more_end = last[more_text], words.offsets[1:][more_text]
-        odd = np.unique([np.searchsorted(words.offsets, m.start(), "right") - 1 for m in _UNPROVEN.finditer(raw)]).astype(np.int64)
+        start, end = words.start, words.end
+        more_text = more_start = more_end = np.empty(0, np.int64)
+        if self._style == BYTE_LEVEL:
+            start = np.empty_like(words.start)
+            start[1:] = words.end[:-1]
+            opens = words.first[:-1][words.counts > 0]
+            start[opens] = words.offsets[:-1][words.counts > 0]
+            # White space behind the last word is a piece of its own; a text whose split is not proven is one piece.
+            last = words.offsets[:-1].copy()
+            last[words.counts > 0] = words.end[words.first[1:][words.counts > 0] - 1]
+            more_text = np.flatnonzero(words.offsets[1:] > last)
+            more_start, more_end = last[more_text], words.offsets[1:][more_text]
+            hits += [m.start() for m in _UNPROVEN.finditer(raw)]
+        odd = np.unique(np.searchsorted(words.offsets, np.array(hits, np.int64), "right") - 1).astype(np.int64)
         if len(odd):
             stays, more_stays = ~np.isin(text, odd), ~np.isin(more_text, odd)
             text, start, end = text[stays], start[stays], end[stays]

@@ -51,6 +51,17 @@ def test_ids_are_the_librarys(name, style):
     assert found == [e.ids for e in encoder._tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
 
 
+@pytest.mark.parametrize(("name", "style", "want"), [("word_bpe_49k.json", tokens.END_OF_WORD, [806, 49407, 1572]), ("byte_bpe_50k.json", tokens.BYTE_LEVEL, [437, 220, 50256, 923])])
+def test_added_tokens_are_the_librarys(name, style, want):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["end <|endoftext|> start", "a<|endoftext|>b", "<|EndOfText|> x", " <|startoftext|> y", "plain words", None, "<|endoftext|>", " tail <|endoftext|> ", "plain words"]
+    found = [ids[i:j].tolist() for _, _, ids, b in tokens.encoder(name, style).encode(pa.array(texts)) for i, j in zip(b[:-1], b[1:], strict=True)]
+    fresh = Tokenizer.from_file(public_tokenizers.path(name))
+    assert found[0] == want and found == [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 5000), max_size=700))
 def test_elias_fano(values):
