@@ -197,3 +197,19 @@ def test_bands():
     assert quality_rules.compression(b"", compressor) == (0.0, 0.0)
     assert quality_rules.compression(b"ab" * 50_000, compressor)[1] == 1.0
     assert [quality_rules.band_of(n).least_bytes for n in (0, 499, 500, 99_999)] == [0, 0, 500, 50_000]
+
+
+def test_noise_and_half_repetition_are_rejected():
+    import base64
+    import random
+
+    rng = random.Random(8)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
+    raw = lambda n: base64.b64encode(rng.randbytes(n)).decode()[:n]
+    prose = " ".join(word("etaoinshrdlu") for _ in range(4000))
+    noise = [(" " if width == 8 else "\n").join(x[k : k + width] for k in range(0, n, width)) for n in (2500, 8000, 60_000) for width in (8, 40) for x in (raw(n),)]
+    noise += [" ".join(word("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n)) for n in (200, 1000, 9000)]
+    halves = [prose[:6000] + "\n" + " ".join(x[k : k + 8] for k in range(0, 5500, 8)) for x in (raw(5500),)] + [prose[:6000] + " again and again" * 380]
+    texts = [prose[:700], prose[:3000], prose[:9000], prose, *noise, *halves]
+    found = quality_rules.metrics(pa.array(texts))["kept"].tolist()
+    assert found == [True] * 4 + [False] * (len(noise) + len(halves))
