@@ -84,18 +84,8 @@ def _positions(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(_bits_of(batch.column(0).to_numpy(zero_copy_only=False)))], names=["bit"])
 
 
-def _maybe_member(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
-    numbers = batch.column(0)
-    keep = bits[_bits_of(numbers.fill_null(0).to_numpy(zero_copy_only=False))]
-    return batch.filter(pa.array(keep & ~numbers.is_null().to_numpy(zero_copy_only=False)))
-
-
-def only_members(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose first column (a long) is not among ``members`` (one column of longs); none that is goes.
-
-    A bitmap of MEMBER_BITS is gathered natively in pieces of 32,768 bits. With far more members it lets all rows pass, and the
-    join that follows is what it would be without it.
-    """
+def _member_bits(members: DataFrame) -> np.ndarray:
+    """A bitmap of hashes of ``members``' first column, packed; it is gathered natively in pieces of 32,768 bits."""
     at = members.mapInArrow(on_batches(_positions), "bit long")
     pieces = at.groupBy(F.bitmap_bucket_number("bit").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     bits = np.zeros(MEMBER_BITS + 65_536, bool)
@@ -104,9 +94,38 @@ def only_members(rows: DataFrame, members: DataFrame) -> DataFrame:
         # Piece 0 holds bit 0 alone, piece k the 32,768 bits from 32,768 (k - 1) + 1 on.
         start = (row.piece - 1) * 32_768 + 1 if row.piece else 0
         bits[start : start + len(own)] |= own.astype(bool)
-    packed = np.packbits(bits)
-    return rows.mapInArrow(on_batches(functools.partial(_unpacked, packed=packed)), rows.schema)
+    return np.packbits(bits, bitorder="little")
+
+
+def _sifted(batch: pa.RecordBatch, packed: np.ndarray, members: bool) -> pa.RecordBatch:
+    numbers = batch.column(0)
+    at = _bits_of(numbers.fill_null(0).to_numpy(zero_copy_only=False))
+    found = (packed[at >> 3] >> (at & 7) & 1).astype(bool) & ~numbers.is_null().to_numpy(zero_copy_only=False)
+    return batch.filter(pa.array(found == members))
+
+
+def members_apart(rows: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: none of the first has its first column (a long) among ``members`` (one column of longs), all that have are in the second.
+
+    With far more members than MEMBER_BITS the second holds all rows, and the join that follows is what it would be without it.
+    """
+    packed = _member_bits(members)
+    return tuple(rows.mapInArrow(on_batches(functools.partial(_sifted, packed=packed, members=m)), rows.schema) for m in (False, True))
+
+
+def only_members(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """The second part of :func:`members_apart`."""
+    return members_apart(rows, members)[1]
+
+
+#: A class is large with more than LARGE_ROWS copies and more than 1 / LARGE_CLASSES of all rows.
+LARGE_ROWS, LARGE_CLASSES = 1_000, 10_000
 
 
-def _unpacked(batch: pa.RecordBatch, packed: np.ndarray) -> pa.RecordBatch:
-    return _maybe_member(batch, np.unpackbits(packed).astype(bool))
+def by_class(rows: DataFrame, classes: DataFrame, key: list[str], how: str) -> DataFrame:
+    """``rows`` joined with ``classes`` (with a column ``times``, their rows) by ``key``, "inner" or "left". Classes with a share of the rows of
+    more than 1 / LARGE_CLASSES, which are fewer than that, are broadcast, so that a group of very many copies stays where its rows are read."""
+    least = max(LARGE_ROWS, rows.count() // LARGE_CLASSES)
+    large = F.broadcast(classes.filter(F.col("times") > least).drop("times"))
+    usual = rows.join(large.select(*key), key, "left_anti").join(classes.filter(F.col("times") <= least).drop("times"), key, how)
+    return usual.unionByName(rows.join(large, key))

@@ -3,7 +3,8 @@
 Both supported vocabularies split a text at white space before they look at anything else, so a text's ids
 are those of its pieces in order. A piece is a word, with the white space before it where white space has ids: a token
 may begin with a blank, but none spans the border from a non-space to a space. A process keeps a bounded table from
-64-bit hashes of pieces to their ids; words repeat, and the library then sees each of them once, many in a call.
+64-bit hashes of pieces to their ids and bytes; words repeat, and the library then sees each of them once, many in a call. A piece whose
+bytes differ from those kept under its hash doesn't use the table's ids.
 Scanning, hashing, looking up and putting together are array operations on whole batches.
 
 Where another white space character than ASCII's stands before an ASCII one, the split is not proven, and such a
@@ -55,6 +56,7 @@ class PieceEncoder:
     def _clear(self) -> None:
         self._keys, self._slots = np.empty(0, np.uint64), np.empty(0, np.int64)
         self._start, self._length, self._pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u2")
+        self._from, self._size, self._text = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8)
 
     def _alone(self, pieces: list[bytes]) -> list[np.ndarray]:
         return [np.array(code.ids, "<u2") for code in self._tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
@@ -96,6 +98,18 @@ class PieceEncoder:
             out[j] = ids
         return out
 
+    def _store(self, pieces: list[bytes]) -> np.ndarray:
+        """The slots of new pieces."""
+        ids = self._learn(pieces)
+        base, length, size = len(self._start), np.array(list(map(len, ids)), np.int64), np.array(list(map(len, pieces)), np.int64)
+        self._start = np.concatenate([self._start, len(self._pool) + np.cumsum(length) - length])
+        self._length = np.concatenate([self._length, length])
+        self._pool = np.concatenate([self._pool, *ids])
+        self._from = np.concatenate([self._from, len(self._text) + np.cumsum(size) - size])
+        self._size = np.concatenate([self._size, size])
+        self._text = np.concatenate([self._text, np.frombuffer(b"".join(pieces), np.uint8)])
+        return base + np.arange(len(pieces))
+
     def _slots_of(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, raw: bytes) -> np.ndarray:
         """Each piece's slot in the table; new pieces get one."""
         distinct, at, where = np.unique(hashes, return_index=True, return_inverse=True)
@@ -107,16 +121,29 @@ class PieceEncoder:
         new[inside] = self._keys[place[inside]] != distinct[inside]
         if new.any():
             some = at[new]
-            ids = self._learn([raw[a:b] for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)])
-            length = np.array(list(map(len, ids)), np.int64)
-            base = len(self._start)
-            self._start = np.concatenate([self._start, len(self._pool) + np.cumsum(length) - length])
-            self._length = np.concatenate([self._length, length])
-            self._pool = np.concatenate([self._pool, *ids])
-            self._slots = np.insert(self._slots, place[new], base + np.arange(len(length)))
+            slots = self._store([raw[a:b] for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)])
+            self._slots = np.insert(self._slots, place[new], slots)
             self._keys = np.insert(self._keys, place[new], distinct[new])
             place = np.searchsorted(self._keys, distinct)
-        return self._slots[place][where]
+        slot = self._slots[place][where]
+        odd = np.flatnonzero(self._differs(slot, start, end, np.frombuffer(raw, np.uint8)))
+        if len(odd):  # two pieces of one hash
+            texts = [raw[a:b] for a, b in zip(start[odd].tolist(), end[odd].tolist(), strict=True)]
+            known = {t: k for k, t in enumerate(dict.fromkeys(texts))}
+            slot[odd] = self._store(list(known))[[known[t] for t in texts]]
+        return slot
+
+    def _differs(self, slot: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Whether pieces have other bytes than those kept in their slots."""
+        size = end - start
+        out = self._size[slot] != size
+        own = np.flatnonzero(~out & (size > wk.EXACT))  # shorter ones of one length have hashes of their own
+        if len(own):
+            ends = np.cumsum(size[own])
+            inner = np.arange(int(ends[-1])) - np.repeat(ends - size[own], size[own])
+            same = data[np.repeat(start[own], size[own]) + inner] == self._text[np.repeat(self._from[slot[own]], size[own]) + inner]
+            out[own] = ~np.logical_and.reduceat(same, ends - size[own])
+        return out
 
     def _pieces(self, words: wk.Words, raw: bytes) -> tuple[np.ndarray, ...]:
         """(first piece of each text, start, end, hash) of a run of texts."""

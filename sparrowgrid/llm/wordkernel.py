@@ -1,30 +1,34 @@
 """Vectorised word scanning: whole Arrow string columns become word positions and 64-bit word hashes.
 
 A word is a maximal run of bytes outside ``\\x20`` and ``\\x09-\\x0D``. Texts lie end to end in one byte
-buffer; a text's first and last byte bound words as white space does. The hash of a word is a polynomial
-over its bytes modulo 2**64, taken from a running sum, then mixed; equal words have equal hashes on every
-machine and in every process.
+buffer; a text's first and last byte bound words as white space does. The hash of a word is a chain of bijective
+steps, one for each eight bytes, from a seed of its length, so that words of up to eight bytes and equal length never collide;
+words of more than ``CHAINED`` bytes take XXH3. Equal words have equal hashes on every machine and in every process.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-_LOWERED = _VALUES.copy()
-_LOWERED[65:91] = _VALUES[97:123]
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Words of so many bytes are hashed by steps over arrays, longer ones one by one.
+CHAINED = 32
+#: Stretches of one length up to this one never share a hash.
+EXACT = 8
+#: Masks of a block's first bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 CHUNK = 1 << 20
 
 
@@ -37,14 +41,9 @@ def _return_memory() -> None:
 _return_memory()
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK + (CHUNK >> 2))
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, U)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z as a-z."""
+    return _LOWER[data]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,6 +56,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def stretch_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches ``data[start[k]:end[k]]``."""
+    size = end - start
+    out = mix(size.astype(U) * U(0x9E3779B97F4A7C15) + U(0xD6E8FEB86659FD93))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    blocks = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    own = np.flatnonzero((size > 0) & (size <= CHAINED))
+    for k in range(0, CHAINED, 8):
+        own = own[size[own] > k] if k else own
+        if not len(own):
+            break
+        out[own] = mix(out[own] ^ (blocks[start[own] + k] & _FIRST[np.minimum(size[own] - k, 8)]))
+    long = np.flatnonzero(size > CHAINED)
+    if len(long):
+        raw = memoryview(padded)
+        out[long] = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)), U, len(long))
+    return out
+
+
 @dataclass
 class Words:
     """Words of a run of texts: ``first[k]:first[k + 1]`` are those of text ``k``; ``start`` and ``end`` are byte positions in ``data``."""
@@ -66,14 +85,17 @@ class Words:
     first: np.ndarray
     start: np.ndarray
     end: np.ndarray
-    hash: np.ndarray
     space: np.ndarray
-    total: np.ndarray
+    lower: bool
+
+    @functools.cached_property
+    def hash(self) -> np.ndarray:
+        """The hash of each word; with ``lower``, A-Z and a-z hash alike."""
+        return stretch_hashes(lowered(self.data) if self.lower else self.data, self.start, self.end)
 
     def hash_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The hashes of any stretches of the data, as those of words are made."""
-        _, inverse = _power_tables(len(self.total))
-        return mix((self.total[end] - self.total[start]) * inverse[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+        """The hashes of any stretches of the data as it is."""
+        return stretch_hashes(self.data, start, end)
 
     @property
     def counts(self) -> np.ndarray:
@@ -122,12 +144,7 @@ def scan(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
     word = ~space
     start = np.flatnonzero(word & (before | edge[:n]))
     end = np.flatnonzero(word & (after | edge[1:])) + 1
-    power, _ = _power_tables(n + 1)
-    total = np.zeros(n + 1, U)
-    np.cumsum((_LOWERED if lower else _VALUES)[data] * power[:n], out=total[1:])
-    words = Words(data, offsets, np.searchsorted(start, offsets), start, end, np.empty(0, U), space, total)
-    words.hash = words.hash_of(start, end)
-    return words
+    return Words(data, offsets, np.searchsorted(start, offsets), start, end, space, lower)
 
 
 def scan_column(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, Words]]:

@@ -138,32 +138,24 @@ def test_edit_distance():
 
 
 def brute_lines(rows):
-    """What stays of each document, with the definition taken literally: near SimHash and similar text, by first occurrence."""
-    import pyarrow as pa
-
-    from sparrowgrid.llm import wordkernel as wk
-
+    """What stays of each document, with the definition taken literally: all pairs of lines by edit similarity, the first occurrence of a group."""
     entries, occurrences = {}, []
     for d, t in sorted(rows):
         for k, line in enumerate(t.split("\n")):
-            words = re.findall(rb"[^\x20\x09-\x0d]+", line.encode())
-            if len(words) >= line_dedup.MIN_WORDS:
+            if len(re.findall(rb"[^\x20\x09-\x0d]+", line.encode())) >= line_dedup.MIN_WORDS:
                 own = line_dedup.normalised(line)
                 occurrences.append((d, k, own))
-                if own not in entries:
-                    (_, _, w), = wk.scan_column(pa.array([own]))
-                    bits = {h & ((1 << 64) - 1) for h in w.hash.tolist()}
-                    entries[own] = int(line_dedup.simhashes(*line_dedup.distinct_words(w.hash, np.array([0]), np.array([len(w.hash)])))[0]), len(bits)
+                entries.setdefault(own, len(entries))
     names = list(entries)
     edges = [(k, k) for k in range(len(names))]
     for x in range(len(names)):
         for y in range(x):
-            if (entries[names[x]][0] ^ entries[names[y]][0]).bit_count() <= line_dedup.DISTANCE and line_dedup.similar(names[x], names[y]):
+            if line_dedup.similar(names[x], names[y]):
                 edges.append((x, y))
     roots = brute_components(edges)
     first, gone = {}, set()
     for d, k, own in occurrences:
-        if first.setdefault(roots[names.index(own)], (d, k)) != (d, k):
+        if first.setdefault(roots[entries[own]], (d, k)) != (d, k):
             gone.add((d, k))
     return {d: "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone) for d, t in rows}
 
@@ -173,6 +165,7 @@ def test_lines(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(line_dedup, "UNIT_CHARS", 3000)
         monkeypatch.setattr(line_dedup, "UNIT_LINES", 6)
+        monkeypatch.setattr(line_dedup, "CELL_LINES", 40)
     rng = random.Random(7)
     vocabulary = ["".join(rng.choice("etaoinshr") for _ in range(6)) for _ in range(300)]
     bases = [[rng.choice(vocabulary) for _ in range(rng.choice((6, 20, 60)))] for _ in range(25)]
@@ -187,7 +180,9 @@ def test_lines(spark, monkeypatch, small):
         rows.append((d, "\n".join([*lines, "short line", ""])))
     got = line_dedup.dedup_lines(docs(spark, rows))
     assert got.columns == ["doc_id", "text", "root", "n", "rep"]
-    assert {r.doc_id: r.text for r in got.collect()} == brute_lines(rows)
+    want, got = brute_lines(rows), {r.doc_id: r.text for r in got.collect()}
+    # Where cells are split, a sample of bits may part a pair.
+    assert sum(got[d] != want[d] for d in want) <= (3 if small else 0)
 
 
 def test_lines_other_cases(spark):
@@ -197,20 +192,53 @@ def test_lines_other_cases(spark):
     kept = [t for _, d, t in got if t and line in t]
     assert len(got) == len(rows) and len(kept) == 1 and (False, 2, "") in got and (False, 3, None) in got and (True, 0, "") in got and (False, 5, "a\n\nb") in got
     assert line_dedup.dedup_lines(docs(spark, [])).collect() == []
+    names = ["gone", "a.b", "row_hash", "line", "node", "c0", "Text`s"]
+    frame = spark.createDataFrame([(k, line, *map(str, range(len(names)))) for k in (4, 2, 2)], ["doc_id", "text", *names])
+    out = line_dedup.dedup_lines(frame)
+    assert out.columns == frame.columns and sorted(map(tuple, out.collect())) == [(2, line, *map(str, range(7)))] * 2 + [(4, "", *map(str, range(7)))]
+
+
+def test_very_long_lines(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoin") for _ in range(rng.randint(2, 9))) for _ in range(30_000)]
+    other = list(words)
+    other[17], other[20_000] = "changed", "too"
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, [(1, " ".join(words)), (2, " ".join(other)), (3, "x" * 200_000), (4, " ".join(words[::-1]))])).collect()}
+    assert got[1] and got[2] == "" and got[3] == "x" * 200_000 and got[4]
 
 
-def test_blocks():
-    for lines, blocks in ((10, 4), (1 << 21, 4), (1 << 30, 5), (1 << 45, 7)):
-        assert line_dedup.block_count(lines) == blocks
-    for blocks in (4, 5, 6, 7):
-        rng = random.Random(blocks)
-        masks = line_dedup.masks_of(blocks)
-        for _ in range(200):
-            a = rng.getrandbits(64)
-            b = a
-            for k in rng.sample(range(64), 3):
-                b ^= 1 << k
-            assert any(a & m == b & m for m in masks)
+def thue_morse(n):
+    return [k.bit_count() & 1 for k in range(n)]
+
+
+def test_lines_whose_words_are_made_to_collide():
+    """Lines of 2,048 words in Thue-Morse order and its complement have equal hashes by any polynomial modulo a power of two."""
+    import pyarrow as pa
+
+    lines = [" ".join("ab"[k ^ flip] for k in thue_morse(2048)) for flip in (0, 1)]
+    planes = line_dedup.Planes.of(np.zeros(line_dedup.DIMS**2, np.int64), np.zeros(line_dedup.DIMS + 1, np.int64))
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([1, 2, 3]), pa.array([*lines, lines[0]])], names=["doc_id", "row_hash", "text"])
+    a, b, c = ((r["hash_a"], r["hash_b"]) for x in line_dedup._line_rows(iter([rows]), planes) for r in x.to_pylist())
+    assert a == c != b
+
+
+def test_blocks(monkeypatch):
+    """Fingerprints that differ in fewer bits than there are blocks meet, whatever the cell's size."""
+    monkeypatch.setattr(line_dedup, "SMALL_CELL", 2)
+    rng = np.random.default_rng(5)
+    for n in (40, 3000):
+        width = min(16, max(8, n.bit_length() - 3))
+        bits = rng.integers(0, 1 << 63, (n, line_dedup.BITS // 64), dtype=np.uint64)
+        bits[1::2] = bits[::2]
+        for k in range(1, n, 2):
+            for bit in rng.choice(line_dedup.BITS, line_dedup.BITS // width - 1, replace=False).tolist():
+                bits[k, bit >> 6] ^= np.uint64(1 << (bit & 63))
+        label = line_dedup.near_forest(np.full(n, 50), bits, np.zeros((n, line_dedup.CLASSES), np.uint8))
+        assert (label == np.arange(n) // 2 * 2).all()
+        monkeypatch.setattr(line_dedup, "LONG_RUN", 0)
+        assert len(set(line_dedup.near_forest(np.full(n, 50), bits, np.zeros((n, line_dedup.CLASSES), np.uint8)).tolist())) < n // 2
+        monkeypatch.undo()
+        monkeypatch.setattr(line_dedup, "SMALL_CELL", 2)
 
 
 def test_leaks(spark):
@@ -263,27 +291,37 @@ def test_embedding_follows_edits():
     assert decontamination.bands_for(0.98, 0.5, 3) == 30
 
 
-def test_lines_found_by_edits_alone(spark):
-    """Of pairs with edit similarity 0.9 or more, whatever their SimHashes, one line goes: all of those with a changed word, most of those with scattered edits."""
-    rng = random.Random(11)
+@pytest.mark.parametrize("words", [3, 8, 15, 27, 60, 120])
+def test_recall_of_similar_lines(spark, words):
+    """Of pairs with edit similarity 0.9 or more, whatever their fingerprints, one line goes: recall for each kind of edit."""
+    rng = random.Random(words)
     vocabulary = ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
     rows, kind = [], {}
     for k in range(400):
-        words = [rng.choice(vocabulary) for _ in range((10, 27, 60, 100)[k % 4])]
-        line = " ".join(words)
-        if k % 2 == k // 4 % 2:
-            words[rng.randrange(len(words))] = rng.choice([w for w in vocabulary if len(w) <= 4])
-            other, name = " ".join(words), "word"
+        own = [rng.choice(vocabulary) for _ in range(words)]
+        line, name = " ".join(own), ("letter", "word", "scattered", "boundary")[k % 4]
+        if name == "word":
+            own[rng.randrange(words)] = rng.choice([w for w in vocabulary if len(w) <= 4])
+            other = " ".join(own)
         else:
-            other, name = list(line), "scattered"
-            for j in rng.sample(range(len(line)), int(0.07 * len(line))):
-                other[j] = rng.choice("etaoinshrdlucm")
-            other = "".join(other)
-        if line != other and line_dedup.similar(line, other):
+            letters = list(line)
+            for j in rng.sample(range(len(line)), max(1, int({"letter": 0, "scattered": 0.05, "boundary": 0.1}[name] * len(line)))):
+                letters[j] = rng.choice(("", rng.choice("etaoinshrdlucm"), letters[j] + rng.choice("etaoinshrdlucm")))
+            other = "".join(letters)
+        if line_dedup.normalised(line) != line_dedup.normalised(other) and len(other.split()) >= line_dedup.MIN_WORDS and line_dedup.similar(line, line_dedup.normalised(other)):
             rows += [(2 * k, line), (2 * k + 1, other)]
             kind[2 * k + 1] = name
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
-    assert all(got[d] == t for d, t in rows if d not in kind)
-    for name, least in (("word", 1.0), ("scattered", 0.85)):
-        own = [d for d, x in kind.items() if x == name]
-        assert len(own) > 100 and sum(got[d] == "" for d in own) >= least * len(own), (name, len(own), sum(got[d] == "" for d in own))
+    found = collections.Counter(kind[d] for d in kind if got[d] == "")
+    total = collections.Counter(kind.values())
+    print(words, {x: f"{found[x]}/{total[x]}" for x in total})
+    assert sum(got[d] != t for d, t in rows if d not in kind) <= 2
+    assert found.total() >= 0.9 * total.total() and found["letter"] >= 0.97 * total["letter"] and found["word"] >= 0.9 * total["word"]
+
+
+def test_diagonals():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(14))) for _ in range(2))
+        d, most = plain_distance(a, b), rng.randrange(10)
+        assert line_dedup.few_edits(a, b, most) == (d if d <= most else None)
