@@ -74,6 +74,22 @@ def on_batches(function: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> C
     return run
 
 
+def in_portions(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], size: int = 8 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``function`` over batches put together to about ``size`` bytes."""
+
+    def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.nbytes for b in held) >= size:
+                yield pa.concat_batches(held)
+                held = []
+        if held:
+            yield pa.concat_batches(held)
+
+    return lambda batches: function(portions(batches))
+
+
 def _bits_of(numbers: np.ndarray) -> np.ndarray:
     from .wordkernel import mix
 

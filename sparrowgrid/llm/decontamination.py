@@ -3,23 +3,22 @@
 A benchmark item leaks into a document when a passage of it is within edit similarity ``SIMILARITY`` of the item
 (1 - edit distance / length, on characters, with A-Z in lower case and white space as single blanks).
 
-1. Item-sized windows: a passage within word edit similarity ``SIMILARITY`` keeps at least ``0.4 n - 2`` of an item's n - 2
-   word trigrams on nearby diagonals (q-gram lemma). A quarter of that, and one at least, is asked for, so that
-   edits inside words don't hide a passage. Windows start where the item would start on such a diagonal.
-2. CGK: a random walk over the window (a pseudo-random bit for each step and character decides whether it stays)
-   embeds it so that Hamming distance follows edit distance. Each walk's embedding is sampled at ``BITS`` places by
-   each of several bands; a window whose samples agree with the item's in any band is a candidate. The number of
-   bands follows from :func:`bands_for` the target recall at the Hamming share ``FAR``.
-3. Exact: the least edit distance between the item and any stretch around the window (bit-parallel, free ends).
+1. Windows. A window as long as an item starts at each word of a document, and at each character of a word behind its first ``LONG_WORD``.
+   Its embedding restarts at each of these places too, so that one embedding of a document serves windows of all lengths: a window agrees
+   with an item when the embeddings from some place of each agree in a band, and it starts as far before that place as the item does.
+2. CGK: a random walk (a pseudo-random bit for each step and character decides whether it stays) embeds what follows a place so that Hamming distance
+   follows edit distance: edited characters part two walks for some steps, after which they meet again.
+3. Bit sampling: each of ``WALKS`` walks is sampled at places of its first steps; windows whose samples equal the item's are candidates.
+   Longer items have more places, one of which is enough, so they can ask for agreement over more steps (``REACHES``).
+4. Exact: the least edit distance between the item and any stretch of the window, widened by the edits that are allowed (bit-parallel, many windows at once).
 
 The benchmark is the query set: it is read in blocks of bounded size, each of which passes over all documents once.
 Documents are neither shuffled nor cut; windows are made in the task that holds the text.
 
-Defined results: null texts and texts without words match nothing; items of fewer than ``MIN_WORDS`` words are too short to
-tell from common language and match nothing; rows that share an item number are separate texts of that item, of
+Defined results: null texts and texts without words match nothing, nor do such items; rows that share an item number are separate texts of that item, of
 which the best counts; repeated documents each give their rows; rows without a number are kept, as null; an empty
 table on either side gives an empty result; further columns are ignored by :func:`leaks` and pass through
-:func:`without_leaks`.
+:func:`without_leaks`, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,62 +34,132 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordkernel as wk
-from .common import bounded_batches, on_batches
-
-SIMILARITY, MIN_WORDS = 0.8, 5
-BITS, WALKS, FAR, RECALL = 3, 4, 0.5, 0.98
+from .common import bounded_batches, in_portions, on_batches
+
+SIMILARITY = 0.8
+WALKS = 3
+#: (Characters of an item at least, steps of a walk, sampled places): the first that an item is long enough for.
+REACHES = ((80, 32, 16), (24, 16, 8), (0, 8, 4))
+#: Behind so many characters of a word, each one starts windows: some scripts have no blanks.
+LONG_WORD = 16
 #: Characters of benchmark texts in a task's closure at once.
 BLOCK_CHARS = 16 << 20
+#: Windows that are compared at once.
+TOGETHER = 4_096
 LEAKS = "doc_id long, item_id long, similarity double, start_word long, n_words long"
 _SEED = 20250607
+_FILTER_BITS = 20
 
 
-def bands_for(recall: float = RECALL, share: float = FAR, bits: int = BITS) -> int:
-    """Bands of ``bits`` samples, one of which agrees with chance ``recall`` when a ``share`` of places differs."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - share) ** bits))
+@dataclass
+class Chars:
+    """A run of texts as characters: of each the low byte of its code, never 0. Words have single blanks between; ``begin`` has their places, and one more."""
 
+    low: np.ndarray
+    code: np.ndarray
+    begin: np.ndarray
+    first: np.ndarray
 
-def walk(texts: list[bytes], steps: int, seed: int) -> np.ndarray:
-    """CGK embeddings of ``steps`` characters each; 0 stands where a text has ended."""
-    longest = max(map(len, texts), default=0)
-    padded = np.zeros((len(texts), longest + 1), np.uint8)
-    for k, t in enumerate(texts):
-        padded[k, : len(t)] = np.frombuffer(t, np.uint8)
-    stay = np.random.default_rng(seed).integers(0, 2, (steps, 256), dtype=np.int64)
-    at, rows = np.zeros(len(texts), np.int64), np.arange(len(texts))
-    out = np.empty((steps, len(texts)), np.uint8)
+    @staticmethod
+    def of(words: wk.Words) -> Chars:
+        flat, begin = wk.joined(words)
+        raw = flat.tobytes()
+        code = np.frombuffer(raw.decode().encode("utf-32-le"), "<u4")
+        if len(code) < len(raw):
+            marks = np.zeros(len(flat) + 1, np.int64)
+            np.cumsum((flat & 0xC0) != 0x80, out=marks[1:])
+            begin = marks[begin]
+        low = code.astype(np.uint8)
+        low[low == 0] = 1
+        return Chars(low, code, begin, words.first)
+
+    def places(self, every: bool = False) -> np.ndarray:
+        """Where windows start; ``every``: at each character."""
+        if every:
+            return np.arange(int(self.begin[0]), len(self.low))
+        size = np.diff(self.begin) - 1
+        long = np.flatnonzero(size > LONG_WORD)
+        if not len(long):
+            return self.begin[:-1]
+        more = size[long] - LONG_WORD
+        ends = np.cumsum(more)
+        inner = np.arange(int(ends[-1])) + np.repeat(self.begin[long] + LONG_WORD - (ends - more), more)
+        return np.sort(np.concatenate([self.begin[:-1], inner]))
+
+
+def walk(low: np.ndarray, at: np.ndarray, steps: int, seed: int) -> np.ndarray:
+    """CGK embeddings of what follows each place: a row for each step. Behind the end stands 0."""
+    padded = np.zeros(len(low) + steps + 1, np.uint8)
+    padded[: len(low)] = low
+    stay = np.random.default_rng(seed).integers(0, 2, (steps, 256), dtype=np.uint8)
+    at = at.astype(np.int64)
+    out = np.empty((steps, len(at)), np.uint8)
     for j in range(steps):
-        out[j] = padded[rows, at]
-        at = np.minimum(at + stay[j][out[j]], longest)
-    return out.T
+        np.take(padded, at, out=out[j])
+        at += stay[j][out[j]]
+    return out
 
 
-def nearest(pattern: bytes, text: bytes) -> int:
+def samples(embedded: np.ndarray, which: int, reach: int) -> np.ndarray:
+    """A band's key of each embedding: its characters at the sampled steps, mixed into one number."""
+    _, steps, bits = REACHES[reach]
+    places = np.random.default_rng(_SEED + 100 + which).choice(steps, bits, replace=False)
+    own = np.ascontiguousarray(embedded[places].T)
+    if bits % 8:
+        return wk.mix(own.view("<u4")[:, 0].astype(np.uint64))
+    key = np.zeros(len(own), np.uint64)
+    for k in range(0, bits, 8):
+        key = wk.mix(key ^ np.ascontiguousarray(own[:, k : k + 8]).view("<u8")[:, 0])
+    return key
+
+
+def nearest(pattern: str, text: str) -> int:
     """The least edit distance between ``pattern`` and any stretch of ``text``."""
-    m = len(pattern)
-    if not m:
+    own = {c: k + 1 for k, c in enumerate(dict.fromkeys(pattern))}
+    if not own:
         return 0
-    masks: dict[int, int] = {}
-    for k, c in enumerate(pattern):
-        masks[c] = masks.get(c, 0) | 1 << k
-    full, top = (1 << m) - 1, 1 << (m - 1)
-    plus, minus, score, best = full, 0, m, m
-    for c in text:
-        eq = masks.get(c, 0)
-        xv = eq | minus
-        xh = (((eq & plus) + plus) ^ plus) | eq
-        ph = minus | (~(xh | plus) & full)
-        mh = plus & xh
-        if ph & top:
-            score += 1
-        if mh & top:
-            score -= 1
-            best = min(best, score)
-        ph = ph << 1 & full
-        mh = mh << 1 & full
-        plus = mh | (~(xv | ph) & full)
-        minus = ph & xv
-    return best
+    masks = row_masks([np.array([own[c] for c in pattern])], len(own) + 1)
+    return int(columns(masks, np.array([[own.get(c, 0)] for c in text], np.int64).reshape(-1, 1), np.array([len(pattern)]))[0][0])
+
+
+def row_masks(patterns: list[np.ndarray], kinds: int) -> np.ndarray:
+    """For each 64 rows, pattern and kind of character below ``kinds``, the bits of the rows that have it."""
+    out = np.zeros((-(-max(map(len, patterns)) // 64), len(patterns) * kinds), np.uint64)
+    for j, p in enumerate(patterns):
+        rows = np.arange(len(p))
+        np.bitwise_or.at(out, (rows >> 6, j * kinds + p.astype(np.int64)), np.uint64(1) << (rows & 63).astype(np.uint64))
+    return out
+
+
+def columns(masks: np.ndarray, column: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of a pattern and a text the least edit distance of the pattern to a stretch of the text, and where the first such ends.
+
+    ``column`` has a row for each place of the texts, and the masks' place of each text's character there. Bit-parallel, in words of 64 rows of all pairs at once."""
+    n, words = len(size), len(masks)
+    one, top = np.uint64(1), np.uint64(63)
+    last, high = (size - 1) >> 6, ((size - 1) & 63).astype(np.uint64)
+    plus, minus = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
+    ending = [last == w if (last == w).any() else None for w in range(words)]
+    score, best, where = size.copy(), size.copy(), np.zeros(n, np.int64)
+    for c in range(len(column)):
+        up = down = np.zeros(n, np.uint64)
+        for w in range(words):
+            eq, p, m = masks[w, column[c]], plus[w], minus[w]
+            xv = eq | m
+            eq |= down
+            xh = (((eq & p) + p) ^ p) | eq
+            ph, mh = m | ~(xh | p), p & xh
+            ends = ending[w]
+            if ends is not None:
+                score += np.where(ends, (ph >> high & one).astype(np.int64) - (mh >> high & one).astype(np.int64), 0)
+            ph_out, mh_out = ph >> top, mh >> top
+            ph, mh = ph << one | up, mh << one | down
+            plus[w], minus[w] = mh | ~(xv | ph), ph & xv
+            up, down = ph_out, mh_out
+        better = score < best
+        best[better] = score[better]
+        where[better] = c + 1
+    return best, where
 
 
 @dataclass
@@ -98,125 +167,146 @@ class Item:
     """A benchmark text as the tasks need it."""
 
     item_id: int | None
-    text: bytes
+    low: np.ndarray
+    code: np.ndarray
     n_words: int
     edits: int
-    least_hits: int
-    samples: list[np.ndarray]
 
 
 @dataclass
-class Benchmark:
-    """A block of items with their trigrams, sorted: the hash, the item and the trigram's place in it."""
+class Band:
+    """The keys of a walk and a reach, sorted, with their items and places there; ``seen`` tells most other keys."""
 
-    items: list[Item]
-    trigram: np.ndarray
+    walk: int
+    reach: int
+    key: np.ndarray
     item: np.ndarray
     place: np.ndarray
-    bands: int
+    seen: np.ndarray
+
+
+@dataclass
+class Benchmark:
+    """A block of items with their bands."""
+
+    items: list[Item]
+    bands: list[Band]
 
     @staticmethod
-    def of(rows: list[tuple[int | None, str | None]], bands: int | None = None) -> Benchmark:
-        bands = bands or bands_for()
-        kept: list[Item] = []
-        trigrams, owners, places = [np.empty(0, wk.U)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    def of(rows: list[tuple[int | None, str | None]]) -> Benchmark:
+        items: list[Item] = []
+        found: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for base, _, words in wk.scan_column(pa.array([t for _, t in rows], pa.string())):
+            chars = Chars.of(words)
             for k, n in enumerate(words.counts.tolist()):
-                if n < MIN_WORDS:
+                if not n:
                     continue
-                own = slice(int(words.first[k]), int(words.first[k + 1]))
-                text = joined(words, own.start, own.stop)
-                item = Item(rows[base + k][0], text, n, math.floor((1 - SIMILARITY) * n), max(1, math.floor((0.4 * n - 2) / 4)), [])
-                item.samples = [sampled(walk([text], steps_for(len(text)), _SEED + w), bands, w)[0] for w in range(WALKS)]
-                grams = wk.window_hashes(words.hash[own], 3)
-                trigrams.append(grams)
-                owners.append(np.full(len(grams), len(kept)))
-                places.append(np.arange(len(grams)))
-                kept.append(item)
-        flat = np.concatenate(trigrams)
-        order = np.argsort(flat, kind="stable")
-        return Benchmark(kept, flat[order], np.concatenate(owners)[order], np.concatenate(places)[order], bands)
-
-
-def joined(words: wk.Words, low: int, high: int) -> bytes:
-    """Words ``low`` to ``high`` in lower case with single blanks."""
-    return b" ".join([words.data[s:e].tobytes() for s, e in zip(words.start[low:high].tolist(), words.end[low:high].tolist(), strict=True)]).lower()
-
-
-def steps_for(length: int) -> int:
-    """Steps of the walk over an item of ``length`` bytes: enough to reach its end, as each step moves on with chance 1/2."""
-    return 3 * length
-
-
-def sampled(embedded: np.ndarray, bands: int, which: int) -> np.ndarray:
-    """The bands' samples of embeddings: a walk's share of all bands, each of BITS places."""
-    own = len(range(which, bands, WALKS))
-    places = np.random.default_rng(_SEED + 100 + which).integers(0, embedded.shape[1], own * BITS)
-    return embedded[:, places].reshape(len(embedded), own, BITS)
-
-
-def candidates(words: wk.Words, bench: Benchmark) -> list[tuple[int, int, int]]:
-    """(text, item, first word of the window, from the text's first) that share enough trigrams on nearby diagonals, those with most first."""
-    at = wk.inside(words.first, 3)
-    if not len(at) or not len(bench.trigram):
-        return []
-    grams = wk.window_hashes(words.hash, 3)[at]
-    seen = np.zeros(1 << 20, bool)
-    seen[(bench.trigram >> np.uint64(44)).astype(np.int64)] = True
-    maybe = np.flatnonzero(seen[(grams >> np.uint64(44)).astype(np.int64)])
-    low = np.searchsorted(bench.trigram, grams[maybe], "left")
-    times = np.searchsorted(bench.trigram, grams[maybe], "right") - low
-    entry = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-    if not len(entry):
-        return []
-    where = np.repeat(at[maybe], times)
-    text = words.text_of()[where]
-    item = bench.item[entry]
-    diagonal = where - words.first[text] - bench.place[entry]
-    order = np.lexsort((diagonal, item, text))
-    text, item, diagonal = text[order], item[order], diagonal[order]
-    edits = np.array([x.edits for x in bench.items])[item]
-    least = np.array([x.least_hits for x in bench.items])[item]
-    span = int(diagonal.max() - diagonal.min()) + int(edits.max()) * 2 + 2
-    code = (text * len(bench.items) + item) * span + (diagonal - diagonal.min())
-    hits = np.searchsorted(code, code + 2 * edits, "right") - np.arange(len(code))
-    good = np.flatnonzero(hits >= least)
-    good = good[np.argsort(-hits[good], kind="stable")]
-    return list(zip(text[good].tolist(), item[good].tolist(), diagonal[good].tolist(), strict=True))
+                a, b = int(words.first[k]), int(words.first[k + 1])
+                start, end = int(chars.begin[a]), int(chars.begin[b]) - 1
+                own = Chars(chars.low[start:end], chars.code[start:end], np.r_[chars.begin[a:b], end + 1] - start, np.array([0, n]))
+                reach = next(r for r, (least, _, _) in enumerate(REACHES) if end - start >= least)
+                at = own.places(reach == len(REACHES) - 1)
+                for w in range(WALKS):
+                    found.setdefault((w, reach), []).append((samples(walk(own.low, at, REACHES[reach][1], _SEED + w), w, reach), np.full(len(at), len(items)), at))
+                items.append(Item(rows[base + k][0], own.low.copy(), own.code.copy(), n, math.floor((1 - SIMILARITY) * (end - start) + 1e-9)))
+        bands = []
+        for (w, reach), parts in sorted(found.items()):
+            key, item, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((place, item, key))
+            seen = np.zeros(1 << _FILTER_BITS, bool)
+            seen[(key >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+            bands.append(Band(w, reach, key[order], item[order], place[order], seen))
+        return Benchmark(items, bands)
+
+
+def candidates(chars: Chars, bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, place where the item would start) of the windows that agree with an item in a band; each once, in order."""
+    at = chars.places()
+    own: list[tuple[np.ndarray, np.ndarray]] = []
+    embedded: dict[int, np.ndarray] = {}
+    for band in bench.bands:
+        if band.walk not in embedded:
+            embedded = {band.walk: walk(chars.low, at, max(REACHES[b.reach][1] for b in bench.bands), _SEED + band.walk)}
+        key = samples(embedded[band.walk], band.walk, band.reach)
+        maybe = np.flatnonzero(band.seen[(key >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+        low = np.searchsorted(band.key, key[maybe], "left")
+        times = np.searchsorted(band.key, key[maybe], "right") - low
+        entry = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+        where = np.repeat(at[maybe], times)
+        own.append((band.item[entry] << 36 | (where - band.place[entry] + (1 << 34)), where))
+    if not own:
+        return (np.empty(0, np.int64),) * 3
+    code, where = (np.concatenate(x) for x in zip(*own, strict=True))
+    text = np.searchsorted(chars.begin[chars.first[1:]], where, "right")
+    order = np.lexsort((code, text))
+    text, code = text[order], code[order]
+    new = np.r_[True, (code[1:] != code[:-1]) | (text[1:] != text[:-1])][: len(code)]
+    return text[new], code[new] >> 36, (code[new] & ((1 << 36) - 1)) - (1 << 34)
+
+
+def _string(code: np.ndarray) -> str:
+    return code.astype("<u4").tobytes().decode("utf-32-le")
+
+
+def _compared(low: np.ndarray, items: list[Item], item: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(windows, least distance, its end) by portions of bounded size; characters are told apart by their codes' low bytes."""
+    size = np.array([len(x.low) for x in items], np.int64)
+    order = np.argsort(begin - end, kind="stable")
+    k = 0
+    while k < len(order):
+        longest = int((end - begin)[order[k]])
+        some = order[k : k + max(1, min(TOGETHER, (1 << 21) // max(longest, 1)))]
+        k += len(some)
+        own, row = np.unique(item[some], return_inverse=True)
+        at = begin[some] + np.arange(longest)[:, None]
+        letter = np.where(at < end[some], low[np.minimum(at, len(low) - 1)], 0)
+        yield some, *columns(row_masks([items[j].low for j in own.tolist()], 256), row * 256 + letter, size[item[some]])
+
+
+def windows_of(chars: Chars, bench: Benchmark, edits: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, item, begin, end) of the stretches in which passages may lie."""
+    text, item, start = candidates(chars, bench)
+    if not len(text):
+        return text, item, start, start
+    # Windows of an item that start within the allowed edits of each other are one, which holds what each of them does.
+    new = np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > edits[item[1:]])][: len(text)]
+    at = np.flatnonzero(new)
+    text, item, first, last = text[at], item[at], start[at], start[np.r_[at[1:], len(new)] - 1]
+    begin = np.maximum(first - edits[item], chars.begin[chars.first[text]])
+    return text, item, begin, np.minimum(last + size[item] + edits[item], chars.begin[chars.first[text + 1]] - 1)
 
 
 def find_leaks(column: pa.Array, bench: Benchmark) -> list[tuple[int, int, float, int]]:
-    """(row, item, similarity, window's first word) of the passages of a string column; one for each row and item."""
-    out = []
+    """(row, item, similarity, passage's first word) of the passages of a string column; the best one for each row and item."""
+    edits, size = (np.array(x, np.int64) for x in ([x.edits for x in bench.items], [len(x.code) for x in bench.items]))
+    runs: list[tuple[int, Chars]] = []
+    parts: list[tuple[np.ndarray, ...]] = []
+    held = 0
     for base, _, words in wk.scan_column(column):
-        windows: dict[tuple[int, int], list[int]] = {}
-        for text, item, start in candidates(words, bench):
-            own = windows.setdefault((text, item), [])
-            # A passage's hits lie on diagonals up to its edits apart: one window stands for those that close.
-            if all(abs(start - x) > max(1, bench.items[item].edits // 2) for x in own):
-                own.append(start)
-        flat = [(text, item, start) for (text, item), starts in windows.items() for start in starts]
-        by_item: dict[int, list[tuple[int, int, bytes]]] = {}
-        for text, item, start in flat:
-            x = bench.items[item]
-            low = int(words.first[text]) + max(0, start - x.edits)
-            high = min(int(words.first[text + 1]), int(words.first[text]) + max(0, start) + x.n_words + 2 * x.edits)
-            window = int(words.first[text]) + max(0, start)
-            by_item.setdefault(item, []).append((text, start, joined(words, low, high), joined(words, window, min(high, window + x.n_words))))
-        found: dict[tuple[int, int], tuple[float, int]] = {}
-        for item, own in by_item.items():
-            x = bench.items[item]
-            agree = np.zeros(len(own), bool)
-            for w in range(WALKS):
-                embedded = walk([o[3] for o in own], steps_for(len(x.text)), _SEED + w)
-                agree |= (sampled(embedded, bench.bands, w) == x.samples[w]).all(2).any(1)
-            for (text, start, around, _), ok in zip(own, agree.tolist(), strict=True):
-                if ok and found.get((text, item), (0.0, 0))[0] < 1:
-                    similarity = 1 - nearest(x.text, around) / len(x.text)
-                    if similarity >= SIMILARITY and similarity > found.get((text, item), (0.0, 0))[0]:
-                        found[text, item] = (similarity, max(0, start))
-        out += [(base + text, item, s, start) for (text, item), (s, start) in found.items()]
-    return out
+        chars = Chars.of(words)
+        text, item, begin, end = windows_of(chars, bench, edits, size)
+        if len(text):
+            parts.append((np.full(len(text), len(runs)), text, item, begin + held, end + held))
+            runs.append((base, chars))
+            held += len(chars.low)
+    found: dict[tuple[int, int], tuple[float, int]] = {}
+    if not runs:
+        return []
+    run, text, item, begin, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+    low, code = (np.concatenate([getattr(c, x) for _, c in runs]) for x in ("low", "code"))
+    before = np.cumsum([0, *(len(c.low) for _, c in runs)])
+    for some, best, where in _compared(low, bench.items, item, begin, end):
+        for j in np.flatnonzero(best <= edits[item[some]]).tolist():
+            k = int(some[j])
+            i, least, a, b = int(item[k]), int(best[j]), int(begin[k]), int(end[k])
+            if max(code[a:b].max(), bench.items[i].code.max()) > 255:  # characters with equal low bytes
+                least = nearest(_string(bench.items[i].code), _string(code[a:b]))
+            base, chars = runs[run[k]]
+            similarity, row = 1 - least / int(size[i]), base + int(text[k])
+            if least <= edits[i] and similarity > found.get((row, i), (0.0, 0))[0]:
+                place = max(a + int(where[j]) - int(size[i]), a) - int(before[run[k]])
+                found[row, i] = similarity, max(0, int(np.searchsorted(chars.begin, place, "right")) - 1 - int(chars.first[text[k]]))
+    return [(row, item, similarity, start) for (row, item), (similarity, start) in sorted(found.items())]
 
 
 def _leaks(batch: pa.RecordBatch, bench: Benchmark) -> pa.RecordBatch | None:
@@ -229,9 +319,9 @@ def _leaks(batch: pa.RecordBatch, bench: Benchmark) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where)), *(pa.array(x, t) for x, t in zip(rest, kinds, strict=True))], names=[x.split()[0] for x in LEAKS.split(", ")])
 
 
-def _without(batch: pa.RecordBatch, text: str, bench: Benchmark) -> pa.RecordBatch:
+def _without(batch: pa.RecordBatch, text: int, bench: Benchmark) -> pa.RecordBatch:
     clean = np.ones(batch.num_rows, bool)
-    clean[[x[0] for x in find_leaks(batch.column(batch.schema.names.index(text)), bench)]] = False
+    clean[[x[0] for x in find_leaks(batch.column(text), bench)]] = False
     return batch.filter(pa.array(clean))
 
 
@@ -247,13 +337,15 @@ def blocks_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text"
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row for each document and item that leaked into it, with the best passage's similarity and place."""
-    two = bounded_batches(docs).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    found = [two.mapInArrow(on_batches(functools.partial(_leaks, bench=b)), LEAKS) for b in blocks_of(benchmark, block_chars=block_chars)]
+    two = bounded_batches(docs).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    found = [two.mapInArrow(in_portions(on_batches(functools.partial(_leaks, bench=b))), LEAKS) for b in blocks_of(benchmark, block_chars=block_chars)]
     return functools.reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], LEAKS)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` into which no item leaked, with their columns as they are."""
+    names = docs.columns
+    rest = bounded_batches(docs).toDF(*[f"c{k}" for k in range(len(names))])
     for b in blocks_of(benchmark, block_chars=block_chars):
-        docs = bounded_batches(docs).mapInArrow(on_batches(functools.partial(_without, text=text, bench=b)), docs.schema)
-    return docs
+        rest = rest.mapInArrow(in_portions(on_batches(functools.partial(_without, text=names.index(text), bench=b))), rest.schema)
+    return rest.toDF(*names)

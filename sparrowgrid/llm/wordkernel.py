@@ -147,6 +147,27 @@ def scan(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
     return Words(data, offsets, np.searchsorted(start, offsets), start, end, space, lower)
 
 
+def joined(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """All words in lower case with a blank before and behind each, and the place of each one, with the end of the last."""
+    begin = np.r_[0, np.cumsum(words.end - words.start + 1)] + 1
+    keep = ~words.space
+    behind = words.space[1:] & keep[:-1]  # of the white space behind a word the first
+    keep[1:] |= behind
+    flat = lowered(words.data)
+    flat[words.space] = 32
+    flat = flat[keep]
+    # A word at its text's end has a blank only where the next text begins with one.
+    last = words.end[words.first[1:][words.counts > 0] - 1]
+    bare = last[last < len(words.data)]
+    bare = bare[~words.space[bare]]
+    if len(bare):
+        flat = np.insert(flat, begin[np.searchsorted(words.end, bare) + 1] - 2 - np.arange(len(bare)), 32)
+    out = np.full(int(begin[-1]), 32, np.uint8)
+    # White space before the first word has no word before it and isn't kept.
+    out[1 : 1 + len(flat)] = flat
+    return out, begin
+
+
 def scan_column(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, Words]]:
     """(first text, end text, words) for bounded runs of a string column."""
     data, offsets = string_buffers(column)

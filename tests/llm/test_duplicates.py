@@ -276,8 +276,8 @@ def test_leaks(spark):
 def test_nearest():
     rng = random.Random(2)
     for _ in range(200):
-        p = bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 8)))
-        t = bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 14)))
+        p = "".join(rng.choice("abé") for _ in range(rng.choice((1, 2, 7, 64, 65))))
+        t = "".join(rng.choice("abé") for _ in range(rng.randrange(0, 14)))
         assert decontamination.nearest(p, t) == min(plain_distance(p, t[a:b]) for a in range(len(t) + 1) for b in range(a, len(t) + 1))
 
 
@@ -286,9 +286,62 @@ def test_embedding_follows_edits():
     base = bytes(rng.choice(b"abcdefgh") for _ in range(200))
     near = base[:100] + b"x" + base[100:]
     far = bytes(rng.choice(b"abcdefgh") for _ in range(200))
-    e = decontamination.walk([base, near, far], 600, 1)
-    assert (e[0] != e[1]).mean() < 0.3 < (e[0] != e[2]).mean()
-    assert decontamination.bands_for(0.98, 0.5, 3) == 30
+    a, b, c = (decontamination.walk(np.frombuffer(x, np.uint8), np.zeros(1), 390, 1)[:, 0] for x in (base, near, far))
+    assert (a != b).mean() < 0.3 < (a != c).mean()
+
+
+def edited_text(rng, text, kind, vocabulary):
+    if kind == "words":
+        words = text.split()
+        for k in rng.sample(range(len(words)), max(1, len(words) // 7)):
+            words[k] = rng.choice(vocabulary)
+        return " ".join(words)
+    if kind == "every third word":
+        words = text.split()
+        for k in range(2, len(words), 3):
+            letters = list(words[k])
+            for j in rng.sample(range(len(letters)), max(1, int(0.6 * len(letters)))):
+                letters[j] = rng.choice("etaoinshrdlucm")
+            words[k] = "".join(letters)
+        return " ".join(words)
+    letters = list(text)
+    for j in rng.sample(range(len(letters)), int({"letters 0.1": 0.1, "letters 0.15": 0.15, "letters 0.2": 0.2}[kind] * len(letters))):
+        letters[j] = rng.choice(("", rng.choice("etaoinshrdlucm"), rng.choice("etaoinshrdlucm"), letters[j] + rng.choice("etaoinshrdlucm")))
+    return "".join(letters)
+
+
+@pytest.mark.parametrize("words", [(5, 8), (9, 14), (15, 30), (31, 60)])
+def test_recall_of_leaks(words):
+    """All items against all texts by exact edit similarity, and what the bands find of it, for each kind of edit."""
+    import pyarrow as pa
+
+    rng = random.Random(words[0])
+    vocabulary = ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [text(rng.randint(*words)) for _ in range(120)]
+    kinds = ("letters 0.1", "letters 0.15", "letters 0.2", "words", "every third word", None)
+    rows, kind = [], []
+    for k in range(600):
+        kind.append((kinds[k % 6], rng.randrange(120)))
+        rows.append(text(40) if kind[-1][0] is None else f"{text(20)} {edited_text(rng, items[kind[-1][1]], kind[-1][0], vocabulary)} {text(20)}")
+    found = {(r, i) for r, i, _, _ in decontamination.find_leaks(pa.array(rows), decontamination.Benchmark.of(list(enumerate(items))))}
+    want = {(r, i) for r, (name, i) in enumerate(kind) if name and decontamination.nearest(items[i], rows[r]) <= int(0.2 * len(items[i]) + 1e-9)}
+    total, hit = collections.Counter(kind[r][0] for r, _ in want), collections.Counter(kind[r][0] for r, _ in want & found)
+    print(words, {k: f"{hit[k]}/{total[k]}" for k in total})
+    for r, i in found - want:
+        assert decontamination.nearest(items[i], rows[r]) <= int(0.2 * len(items[i]) + 1e-9)
+    assert hit.total() >= 0.95 * total.total() and all(hit[k] >= 0.9 * total[k] for k in total if total[k] >= 20)
+
+
+def test_leaks_other_cases(spark):
+    item = "the quick brown fox jumps over the lazy dog and runs away from all of the hounds"
+    bench = spark.createDataFrame([(1, item), (1, "second text of the first item which is long enough"), (None, "日本語の文章には空白がないので単語の境界がわかりません、しかし検出できます"), (2, "  "), (3, None), (4, "tiny")], "item_id long, text string")
+    rows = [(1, f"x {item.upper()} y"), (1, f"x {item.upper()} y"), (2, "前置きの文です。日本語の文章には空白がないので単語の境界が分かりません、しかし検出できます。続きの文です。"), (3, None), (4, ""), (5, " \n "), (None, "a " * 200_000 + item), (6, "x" * 300_000)]
+    got = sorted((r.doc_id or 0, r.item_id or 0, round(r.similarity, 2), r.start_word, r.n_words) for r in decontamination.leaks(docs(spark, rows), bench).collect())
+    assert got == [(0, 1, 1.0, 200_000, 17), (1, 1, 1.0, 1, 17), (1, 1, 1.0, 1, 17), (2, 0, got[-1][2], 0, 1)] and got[-1][2] > 0.9
+    frame = spark.createDataFrame([(k, t, "z", "z", "z") for k, t in rows], "doc_id long, text string, `a.b` string, bit string, c0 string")
+    clean = decontamination.without_leaks(frame, bench)
+    assert clean.columns == frame.columns and sorted(r.doc_id for r in clean.collect()) == [3, 4, 5, 6]
 
 
 @pytest.mark.parametrize("words", [3, 8, 15, 27, 60, 120])
