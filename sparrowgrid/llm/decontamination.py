@@ -39,7 +39,7 @@ from .common import bounded_batches, in_portions, on_batches
 SIMILARITY = 0.8
 WALKS = 3
 #: (Characters of an item at least, steps of a walk, sampled places): the first that an item is long enough for.
-REACHES = ((80, 32, 16), (24, 16, 8), (0, 8, 4))
+REACHES = ((160, 32, 16), (80, 24, 12), (24, 16, 8), (0, 8, 4))
 #: Behind so many characters of a word, each one starts windows: some scripts have no blanks.
 LONG_WORD = 16
 #: Characters of benchmark texts in a task's closure at once.
@@ -105,11 +105,10 @@ def samples(embedded: np.ndarray, which: int, reach: int) -> np.ndarray:
     _, steps, bits = REACHES[reach]
     places = np.random.default_rng(_SEED + 100 + which).choice(steps, bits, replace=False)
     own = np.ascontiguousarray(embedded[places].T)
-    if bits % 8:
-        return wk.mix(own.view("<u4")[:, 0].astype(np.uint64))
     key = np.zeros(len(own), np.uint64)
     for k in range(0, bits, 8):
-        key = wk.mix(key ^ np.ascontiguousarray(own[:, k : k + 8]).view("<u8")[:, 0])
+        size = min(8, bits - k)
+        key = wk.mix(key ^ np.ascontiguousarray(own[:, k : k + size]).view(f"<u{size}")[:, 0])
     return key
 
 
