@@ -50,6 +50,11 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def partitions_for(spark: SparkSession, size: int, each: int = 64 << 20) -> int:
+    """Shuffle partitions for ``size`` bytes of which a task gathers ``each`` or less: the session's number, or more."""
+    return max(partitions(spark), -(-int(size) // each))
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A driver table by name."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -6,8 +6,8 @@ chooses between patterns (multisets of classes that fit a sequence, at the cost
 a stretch that is cut where sequences are full, at the cost of its share of a sequence and a little more). It is
 solved by a revised simplex method; a knapsack dynamic program over the dual prices finds the next pattern or
 proves that there is none. As cutting caps the prices, only patterns that fill a sequence almost wholly pay.
-Patterns are used as often as their rounded-down weights say; what the rounding leaves is packed best-fit where
-that fills sequences, and is cut otherwise. The end of the stretch is cut into sequences whose lengths are powers
+Patterns are used as often as their rounded-down weights say; what the rounding leaves is packed where
+that fills sequences, by arithmetic on the classes' counts, and is cut otherwise. The end of the stretch is cut into sequences whose lengths are powers
 of two, which need no padding.
 
 Ranks tie patterns to documents: an item's rank in its class decides its pattern, the pattern's instance and its
@@ -143,21 +143,25 @@ class Plan:
     slot: list[np.ndarray] = field(default_factory=list)
 
 
-def best_fit(left: np.ndarray, capacity: int) -> list[np.ndarray]:
-    """Sequences of items of ``left``, largest first into the fullest that has room; as counts."""
-    bins: list[np.ndarray] = []
-    by_room: dict[int, list[int]] = {}
-    for k in np.flatnonzero(left)[::-1].tolist():
-        for _ in range(int(left[k])):
-            room = next((r for r in range(k, capacity) if by_room.get(r)), None)
-            if room is None:
-                bins.append(np.zeros(capacity + 1, np.int64))
-                b, room = len(bins) - 1, capacity
-            else:
-                b = by_room[room].pop()
-            bins[b][k] += 1
-            by_room.setdefault(room - k, []).append(b)
-    return bins
+def full_patterns(left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns, with their numbers, that fill sequences from the items ``left``, by arithmetic on the classes' counts.
+
+    The largest class that is left, then the largest that fits, and so on; as often as the counts allow. A class with which no sequence
+    fills is given up. Each step uses up or gives up a class, or leaves fewer of one than a pattern takes, so their number doesn't follow the items'."""
+    left, out = left.copy(), []
+    while (classes := np.flatnonzero(left)[::-1]).size:
+        pattern, room = np.zeros(capacity + 1, np.int64), capacity
+        for k in classes.tolist():
+            pattern[k] = min(int(left[k]), room // k)
+            room -= int(pattern[k]) * k
+        if room > 1:
+            left[classes[0]] = 0
+            continue
+        used = pattern > 0
+        times = int((left[used] // pattern[used]).min())
+        out.append((pattern, times))
+        left -= pattern * times
+    return out
 
 
 def solve(demand: np.ndarray, capacity: int) -> Plan:
@@ -172,10 +176,7 @@ def solve(demand: np.ndarray, capacity: int) -> Plan:
             chosen.append((pattern, times))
             left -= pattern * times
     sizes = np.arange(capacity + 1)
-    for pattern in best_fit(left, capacity):
-        if pattern @ sizes >= capacity - 1:
-            chosen.append((pattern, 1))
-            left -= pattern
+    chosen += full_patterns(left, capacity)
     segments: list[list[tuple[int, int, int, int]]] = [[] for _ in range(capacity + 1)]
     at, sequence = np.zeros(capacity + 1, np.int64), 0
     for pattern, times in chosen:
@@ -241,7 +242,7 @@ def _place(batches: Iterator[pa.RecordBatch], plan: Plan, end: dict[tuple[int, i
 def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", style: str = tokens.BYTE_LEVEL, end_id: int = 1, length: int = LENGTH, grid: int = GRID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each piece of each document: its place in the document, its sequence and its offset there."""
     spark = docs.sparkSession
-    two = bounded_batches(docs).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    two = bounded_batches(docs).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     path = shared_path(spark, "packing-ids")
     encoded = two.mapInArrow(functools.partial(_encode, vocabulary=vocabulary, style=style, end_id=end_id, length=length, grid=grid), ENCODED)
     encoded.write.option("compression", "zstd").parquet(path)

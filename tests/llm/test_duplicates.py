@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from sparrowgrid.llm import components, decontamination, line_dedup, ngram_join
+from sparrowgrid.llm import common, components, decontamination, line_dedup, ngram_join
 
 
 def brute_components(edges):
@@ -95,7 +95,7 @@ def test_join_by_chains_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "FREQUENT", 2)
     monkeypatch.setattr(ngram_join, "UNIT_NGRAMS", 1000)
     monkeypatch.setattr(ngram_join, "UNIT_DOCS", 4)
-    monkeypatch.setattr(ngram_join, "LARGE_ROWS", 2)
+    monkeypatch.setattr(common, "LARGE_ROWS", 2)
     copies = corpus(3, groups=4, size=30)
     rows = copies + [(1000 + k, copies[0][1]) for k in range(9)]
     assert joined(spark, rows, width=5, percent=80) == brute_join(rows, 5, 80)

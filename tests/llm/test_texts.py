@@ -213,3 +213,56 @@ def test_noise_and_half_repetition_are_rejected():
     texts = [prose[:700], prose[:3000], prose[:9000], prose, *noise, *halves]
     found = quality_rules.metrics(pa.array(texts))["kept"].tolist()
     assert found == [True] * 4 + [False] * (len(noise) + len(halves))
+
+
+def thue_morse(n):
+    return ["".join("ab"[(k.bit_count() & 1) ^ flip] for k in range(n)) for flip in (0, 1)]
+
+
+def test_words_that_polynomials_confuse():
+    """Thue-Morse words and their complements have equal hashes by any polynomial modulo a power of two."""
+    for n in (1024, 2048):
+        a, b = thue_morse(n)
+        (_, _, words), = wk.scan_column(pa.array([f"{a} {b} {a}"]))
+        x, y, z = words.hash.tolist()
+        assert x == z != y
+        sets = wk.shingle_sets(next(wk.scan_column(pa.array([a, b])))[2], 4)
+        assert not set(sets[0].tolist()) & set(sets[1].tolist())
+        pair = f"{a} {a} {a} {b} {b} {b}"
+        assert quality_rules.base_counts(pa.array([pair]))["n_repeat_words"].tolist() == [0]
+        lines = " ".join([a, b] * 3)
+        assert quality_rules.base_counts(pa.array([lines]))["n_repeat_words"].tolist() == [6]
+
+
+@pytest.mark.parametrize(("name", "style"), [("word_bpe_49k.json", tokens.END_OF_WORD), ("byte_bpe_50k.json", tokens.BYTE_LEVEL)])
+def test_ids_don_t_depend_on_hashes(name, style, monkeypatch):
+    """Pieces that share a hash keep their own ids: all pieces of a length get one of two hashes here."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(wk, "EXACT", 0)
+    monkeypatch.setattr(wk, "stretch_hashes", lambda data, start, end: (end - start).astype(np.uint64) % np.uint64(2))
+    a, b = thue_morse(1024)
+    texts = ["alpha bravo gamma delta", "bravo alpha omega theta", f"{a} {b}", f"{b} {a}", "x y z", None]
+    encoder = tokens.PieceEncoder(public_tokenizers.path(name), style)
+    for _ in range(2):
+        found = [ids[i:j].tolist() for _, _, ids, bounds in encoder.encode(pa.array(texts)) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+        assert found == [x.ids for x in Tokenizer.from_file(public_tokenizers.path(name)).encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_packing_takes_no_longer_for_more_items():
+    import time
+
+    plans = []
+    for n in (10**4, 10**7, 10**12):
+        demand = np.zeros(513, np.int64)
+        demand[300] = n
+        began = time.perf_counter()
+        plans.append(packing.solve(demand, 512))
+        assert time.perf_counter() - began < 20
+        assert plans[-1].units == 300 * n and len(plans[-1].starts[300]) == 0
+    mixed = np.random.default_rng(1).integers(1, 10**9, 513)
+    plan = packing.solve(mixed, 512)
+    assert plan.sequences * 512 + plan.units - 512 * 2 <= (mixed[1:] * np.arange(1, 513)).sum() * 1.01
+    for pattern, times in packing.full_patterns(np.r_[0, np.full(512, 7)], 512):
+        assert times > 0 and pattern @ np.arange(513) >= 511
