@@ -77,6 +77,11 @@ def undefer(jobs: DataFrame, refreshed: DataFrame) -> DataFrame:
     return jobs.join(hit, "origin", "left").withColumn("robots_deferred_until", F.when(F.col("_hit").isNull(), F.col("robots_deferred_until"))).select(*jobs.columns)
 
 
+def probe(asked: DataFrame, robots: DataFrame, now: Column) -> DataFrame:
+    """A row for each origin that is asked for, with its robots snapshot if there is one (J-17)."""
+    return asked.join(robots, "origin", "left").withColumn("live", F.col("expires_at") > now)
+
+
 def rule_for_leads(leads: DataFrame, rules: DataFrame, now: Column) -> DataFrame:
     """Pending listing leads with the longest, then newest, live rule that covers them (P-19, D-13)."""
     live = rules.filter((F.col("expires_at") > now) & F.col("disabled_at").isNull()).select("rule_id", F.col("lead_kind").alias("kind"), "origin", "path_scope", "min_delay_ms", F.col("created_at").alias("rule_created_at"))

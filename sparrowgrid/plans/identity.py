@@ -121,24 +121,39 @@ def link_review_fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.review_links(links, fronts, verdicts, F.expr("timestamp_ntz '2024-06-01'"))[1]
 
 
-@query(f"""WITH {a.EVENTS}, hashed AS (SELECT event_id, CAST(('0x' || substr(sha256(CAST(item AS VARCHAR)), 1, 15)) AS BIGINT) AS h0, event_id % 4 AS flip FROM event WHERE kind = 'error'),
+#: Item hashes with up to three flipped bits; all pairs are compared, without blocks.
+_NEAR = f"""WITH {a.EVENTS}, hashed AS (SELECT event_id, CAST(('0x' || substr(sha256(CAST(item AS VARCHAR)), 1, 15)) AS BIGINT) AS h0, event_id % 4 AS flip FROM event),
 fixed AS (SELECT event_id, xor(h0, CASE flip WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 65537 ELSE 4294967555 END) AS h FROM hashed),
-band AS (SELECT event_id, h, unnest(range(4)) AS band, unnest([h & 65535, (h >> 16) & 65535, (h >> 32) & 65535, (h >> 48) & 65535]) AS block FROM fixed)
-SELECT DISTINCT a.event_id AS a, b.event_id AS b, CAST(bit_count(xor(a.h, b.h)) AS INT) AS distance FROM band a JOIN band b ON a.band = b.band AND a.block = b.block AND a.event_id < b.event_id WHERE bit_count(xor(a.h, b.h)) <= 3 AND a.event_id % 20 = 0""")
-def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of near hashes, the first of which is a query row, by blocks (J-16, F-22, F-23)."""
+class AS (SELECT h, min(event_id) AS representative, count(*) AS n FROM fixed WHERE h IS NOT NULL GROUP BY h),
+near AS (SELECT q.event_id, c.representative, c.n - CASE WHEN q.h = c.h THEN 1 ELSE 0 END AS members, CAST(bit_count(xor(q.h, c.h)) AS INT) AS distance
+  FROM fixed q, class c WHERE q.event_id % 20 = 0 AND bit_count(xor(q.h, c.h)) <= 3)
+"""
+
+
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     flip = F.expr("case event_id % 4 when 0 then 0L when 1 then 1L when 2 then 65537L else 4294967555L end")
-    rows = a.events(spark, sf_dir).filter("kind = 'error'").select("event_id", F.conv(F.substring(F.sha2(F.col("item").cast("string"), 256), 1, 15), 16, 10).cast("long").bitwiseXOR(flip).alias("hash"))
-    queries = rows.filter("event_id % 20 = 0").withColumnRenamed("event_id", "a")
-    return neardup.near_pairs(queries, rows.withColumnRenamed("event_id", "b"), "a", "b").filter("a < b")
+    rows = a.events(spark, sf_dir).select("event_id", F.conv(F.substring(F.sha2(F.col("item").cast("string"), 256), 1, 15), 16, 10).cast("long").bitwiseXOR(flip).alias("hash"))
+    return neardup.search(rows.filter("event_id % 20 = 0"), rows, "event_id")
+
+
+@query(_NEAR + "SELECT event_id, representative, members, distance FROM near WHERE members > 0")
+def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of equal hashes near to each query row, among all events, by blocks (J-16, F-22, F-23)."""
+    return _near(spark, sf_dir)
+
+
+@query(_NEAR + "SELECT event_id, representative, distance, row_number() OVER (PARTITION BY event_id ORDER BY distance, representative) AS place FROM near WHERE members > 0")
+def candidates_by_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in order of distance (O-10)."""
+    return neardup.by_distance(_near(spark, sf_dir).select("event_id", "representative", "distance"), "event_id", "representative")
 
 
 @query()
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents near to benchmark items by SimHash (D-26); Unicode normalisation has no SQL form here."""
+    """Documents near to benchmark items by SimHash, three bits apart at most (D-26); Unicode normalisation has no SQL form here."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", hashing.simhash(F.col("text")).alias("hash"))
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", hashing.simhash(F.col("text")).alias("hash"))
-    return neardup.near_pairs(docs, items, "doc_id", "item_id", most=8)
+    return neardup.near_pairs(docs, items, "doc_id", "item_id")
 
 
 @query()
