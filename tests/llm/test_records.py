@@ -112,30 +112,67 @@ def plain_pii(text, key):
         elif kind == "secret":
             word = sha(f"{key}|secret|{x}")[: len(x)]
             out = word.upper() if x == x.upper() else word
-        elif kind == "card" and luhn(d):
-            body = plain_digits(d[:-1], key, "card")
-            out = shaped(x, body + next(c for c in "0123456789" if luhn(body + c)))
-        elif kind == "ssn" and not re.match("000|666|9", x) and "-00-" not in x and not x.endswith("0000"):
-            out = shaped(x, plain_digits(d, key, "ssn"))
-        elif kind == "phone" and 8 <= len(d) <= 15:
-            n = len(re.match(r"\+(\d{1,3})", x)[1])
-            if len(d) - n >= 2:
+        elif kind == "card":
+            new_card = lambda n: (body := plain_digits(n[:-1], key, "card")) + next(c for c in "0123456789" if luhn(body + c))
+            if 13 <= len(d) <= 19 and luhn(d):
+                out = shaped(x, new_card(d))
+            else:
+                groups, digits, k = re.split("[ -]", x), "", 0
+                while k < len(groups):
+                    sizes = [*map(len, groups[k : k + 5]), 0, 0, 0, 0, 0]
+                    fours = sizes[:4] == [4] * 4
+                    forms = [n for n, form in ((1, sizes[0] >= 13), (5, fours and 1 <= sizes[4] <= 3), (4, fours), (3, sizes[:2] == [4, 6] and sizes[2] in (4, 5))) if form]
+                    taken = next((n for n in forms if 13 <= len("".join(groups[k : k + n])) <= 19 and luhn("".join(groups[k : k + n]))), None)
+                    digits += new_card("".join(groups[k : k + taken])) if taken else groups[k]
+                    k += taken or 1
+                out = shaped(x, digits) if digits != d else None
+        elif kind == "ssn" and (valid := lambda n: not re.search("^(000|666|9)|^...00|0000$", n))(d):
+            n = plain_digits(d, key, "ssn")
+            while not valid(n):
+                n = plain_digits(n, key, "ssn")
+            out = shaped(x, n)
+        elif kind == "phone" and x[0] == "+":
+            n = 1 if d[0] in "17" else 2 if d[:2] in pii.CODES_2 else 3
+            if 8 <= len(d) <= 15 and len(d) - n >= 2:
                 out = shaped(x, d[:n] + plain_digits(d[n:], key, "phone"))
+        elif kind == "phone":
+            n, valid = (d[1:], lambda n: n[0] != "0") if d[0] == "0" else (d, lambda n: re.match("[2-9]..[2-9]", n))
+            n = plain_digits(n, key, "phone")
+            while not valid(n):
+                n = plain_digits(n, key, "phone")
+            out = shaped(x, "0" + n if d[0] == "0" else n)
         elif kind == "ipv4" and all(int(p) < 256 for p in x.split(".")):
             p = list(map(int, x.split(".")))
             a, b = plain_feistel(p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536, key, "ipv4")
             out = f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
         elif kind == "date":
             part = re.split("[./-]", x)
-            try:
-                day = datetime.date(*map(int, part if x[4] == "-" else part[::-1]))
-            except ValueError:
+            def date(*order):
+                try:
+                    return datetime.date(*(int(part[k]) for k in order))
+                except ValueError:
+                    return None
+
+            iso = x[4] == "-"
+            day = date(0, 1, 2) if iso else date(2, 1, 0)
+            swapped = not iso and day is None
+            day = date(2, 0, 1) if swapped else day
+            if day is None:
                 return x
-            n = (day - datetime.date(1750, 1, 1)).days
-            if 0 <= n < 256 * 512:
-                a, b = plain_feistel(n // 512, n % 512, 256, 512, key, "date")
-                new = datetime.date(1750, 1, 1) + datetime.timedelta(a * 512 + b)
-                out = new.isoformat() if x[4] == "-" else f"{new.day:02d}{x[2]}{new.month:02d}{x[5]}{new.year:04d}"
+            base = datetime.date(1750, 1, 1)
+            n, size = (day - base).days, 256 * 512
+            start = n // size * size
+            while True:
+                a, b = plain_feistel((n - start) // 512, (n - start) % 512, 256, 512, key, "date")
+                n = start + a * 512 + b
+                try:
+                    new = base + datetime.timedelta(n)
+                except OverflowError:
+                    continue
+                if not swapped or new.day > 12:
+                    break
+            ahead, behind = (new.month, new.day) if swapped else (new.day, new.month)
+            out = new.isoformat() if iso else f"{ahead:02d}{x[2]}{behind:02d}{x[5]}{new.year:04d}"
         count += out is not None
         return x if out is None else out
 
@@ -145,6 +182,8 @@ def plain_pii(text, key):
 PII = [
     "card 4111-1111-1111-1111 and 4111 1111 1111 1111, not 4111-1111-1111-1112", "two 9807915762804490 4845168114407329 end", "call +1 (017) 555-7713 or +44 20 7946 0958.", "at 97.51.17.173, 300.1.1.1, 1.2.3.4.5 and 10.0.0.1", "on 2024-02-29, 2023-02-29, 31.12.1999, 01/02/2003, 1700-01-01",
     "mail a.b@x.example.com A.B@x.example.com", 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" 9233A8ECF7C5B09FE5949719B6B82BC439E9329B', "ssn 123-45-6789 000-12-3456", "", None, "nothing here", "version 3. CC BY-NC 4.0.", "é 4111111111111111 ü",
+    "4111 1111 1111 1111 123", "4111111111111111 12/27 and No.4111111111111111, 12 4111-1111-1111-1111", "3782 822463 10005 4111 1111 1111 1111", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 0 1 2 3 4 5",
+    "+49 1512 3456789 or +4915123456789, (212) 555-0123, 212-555-0123, 030 12345678", "12/31/1999 13.13.2001 0001-01-01 9999-12-31 1700-02-28 2500-06-07", "3.14159265358979323846 v1.4111111111111111",
 ]
 
 
@@ -165,6 +204,19 @@ def test_pii(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_pii_links_equal_values(spark):
+    rows = {k: t for k, t in enumerate(["4111 1111 1111 1111 123", "4111111111111111 12/27", "+49 1512 3456789", "+4915123456789", "No.4111111111111111", "ssn 123-45-6789", "x " * 300_000 + "4111111111111111"])}
+    frame = spark.createDataFrame([(k, t, 1, "b", "z") for k, t in rows.items()], "doc_id long, text string, n_pii int, `a.b` string, __pii_found string")
+    out = pii.replace_pii(frame, "k")
+    assert out.columns == [*frame.columns, "n_pii_"]
+    got = {r.doc_id: re.sub(r"\D", "", r.text) for r in out.collect()}
+    assert got[0][:16] == got[1][:16] == got[4] == got[6] != "4" + "1" * 15 and luhn(got[4]) and got[0][16:] == "123" and got[1][16:] == "1227"
+    assert got[2] == got[3] != "4915123456789" and got[2].startswith("49")
+    numbers = spark.range(2000).selectExpr("id as doc_id", "concat(lpad(cast(id % 899 + 1 as string), 3, '0'), '-', lpad(cast(id % 99 + 1 as string), 2, '0'), '-', lpad(cast(id + 1 as string), 4, '0')) as text").filter("text not like '666%'")
+    made = [r.text for r in pii.replace_pii(numbers, "k").collect()]
+    assert len(set(made)) == len(made) and not [x for x in made if re.search("^(000|666|9)|-00-|0000$", x)]
+
+
 def test_feistel_is_a_bijection():
     assert len({plain_feistel(a, b, 10, 100, "k", "t") for a in range(10) for b in range(100)}) == 1000
 
