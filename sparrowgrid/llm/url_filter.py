@@ -8,6 +8,9 @@ either, it is allowed. A URL's own rule always comes first.
 
 Rules are matched in a map literal when there are at most ``LITERAL_RULES`` of them, else by a join on host suffixes.
 
+Aliases are resolved as a browser does: entities of the attribute, the page's ``<base>``, relative references, dot segments; scheme and host in
+lower case, without the scheme's own port and without a fragment. Targets of other schemes (``mailto:``, ``javascript:``) tie nothing.
+
 Defined results: a null URL, or one without ``://``, has empty host and path, no rule and no alias; equal URLs share
 their aliases, and repeated rows give repeated results; null pages have no links; an empty table gives an empty
 result; further columns are ignored. URLs are told apart by 64 bits of their SHA-256.
@@ -24,6 +27,7 @@ from .components import connected_components
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 LITERAL_RULES = 2_000
 CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
+BASE = r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'\s>;]+)"""
 
 
@@ -70,28 +74,56 @@ def with_rule(urls: DataFrame, rules: tuple[tuple[str, str], ...] | DataFrame, h
     return urls.join(chosen, [host, path], "left").withColumns({"rule": F.col("best_rule.rule"), "rule_verdict": F.col("best_rule.verdict")}).drop("best_rule")
 
 
+def normal(url: Column) -> Column:
+    """An absolute URL as it is fetched: scheme and host in lower case, no own port, no dot segments, no fragment; a missing path is ``/``."""
+    fetched = F.substring_index(url, "#", 1)
+    root = F.lower(F.regexp_extract(fetched, r"^[^:/?]+://[^/?]*", 0))
+    root = F.regexp_replace(F.regexp_replace(root, r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1")
+    path, query = F.regexp_extract(fetched, r"(?s)^[^:/?]+://[^/?]*([^?]*)", 1), F.regexp_extract(fetched, r"(?s)^[^?]*(\?.*)$", 1)
+    parts = F.split(path, "/", -1)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(x))))
+    whole = F.array_join(F.concat(kept, F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), "/")
+    return F.when(url.contains("://"), F.concat(root, F.when(whole == "", "/").otherwise(whole), query))
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """A reference from ``base`` as an absolute URL; null if it leads nowhere that is fetched."""
+    to = F.trim(F.replace(F.replace(F.replace(target, F.lit("&#38;"), F.lit("&")), F.lit("&#x26;"), F.lit("&")), F.lit("&amp;"), F.lit("&")))
+    scheme, root = F.substring_index(base, "://", 1), F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*", 0)
+    path = F.regexp_extract(base, r"(?s)^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    folder = F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)
+    absolute = (
+        F.when((to == "") | F.startswith(to, F.lit("#")), F.lit(None).cast("string"))
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(F.startswith(to, F.lit("//")), F.concat(scheme, F.lit(":"), to))
+        .when(F.startswith(to, F.lit("/")), F.concat(root, to))
+        .when(F.startswith(to, F.lit("?")), F.concat(root, path, to))
+        .otherwise(F.concat(root, folder, F.lit("/"), to))
+    )
+    return normal(absolute)
+
+
 def _node(url: Column) -> Column:
-    """A URL's number; the fragment is not part of what is fetched."""
-    return F.conv(F.substring(F.sha2(F.substring_index(url, "#", 1), 256), 1, 15), 16, 10).cast("long")
+    """The number of a URL in its normal form."""
+    return F.conv(F.substring(F.sha2(url, 256), 1, 15), 16, 10).cast("long")
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(from_url, to_url) of the redirects and canonical links of pages, made absolute."""
+    """(from_url, to_url) of the redirects and canonical links of pages, in normal form."""
     u, h = F.col(f"`{url}`"), F.col(f"`{html}`")
     some = pages.filter(h.rlike("(?i)canonical|http-equiv") & u.contains("://"))
     target = F.explode(F.array(F.regexp_extract(h, CANONICAL, 1), F.regexp_extract(h, REFRESH, 1)))
-    found = some.select(u.alias("from_url"), target.alias("to")).filter("to <> ''")
-    scheme, root = F.substring_index("from_url", "://", 1), F.regexp_extract("from_url", r"^[^:]*://[^/?#]*", 0)
-    folder = F.concat(root, F.regexp_extract(F.concat(path_of(F.col("from_url")), F.lit("")), r"^(.*/)?", 0))
-    absolute = F.when(F.col("to").contains("://"), F.col("to")).when(F.startswith(F.col("to"), F.lit("//")), F.concat(scheme, F.lit(":"), F.col("to"))).when(F.startswith(F.col("to"), F.lit("/")), F.concat(root, F.col("to"))).otherwise(F.concat(F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(root, F.lit("/"))), F.col("to")))
-    return found.select("from_url", absolute.alias("to_url"))
+    found = some.select(u.alias("own"), F.regexp_extract(h, BASE, 1).alias("base"), target.alias("to")).filter("to <> ''")
+    base = F.coalesce(resolved(F.col("own"), F.col("base")), F.col("own"))
+    return found.select(normal(F.col("own")).alias("from_url"), resolved(base, F.col("to")).alias("to_url"))
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] | DataFrame = RULES, page_id: str = "page_id", url: str = "url", html: str = "html", edges: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of ``pages``. ``edges``: further (from_url, to_url), of recorded redirects."""
     links = link_edges(pages, url, html)
     if edges is not None:
-        links = links.unionByName(edges.select("from_url", "to_url"))
+        links = links.unionByName(edges.select(normal(F.col("from_url")).alias("from_url"), normal(F.col("to_url")).alias("to_url")))
     links = staged(links.filter("from_url is not null and to_url is not null"), "url-links")
     roots = connected_components(links.select(_node(F.col("from_url")), _node(F.col("to_url"))))
     own = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"))
@@ -101,7 +133,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] | DataFrame = RUL
     decided = ends.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rule_verdict").alias("alias_verdict"))
     member = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     spread = member.join(decided, "root").select("node", "alias_verdict")
-    out = placed(own).withColumn("node", F.when(F.col("url").contains("://"), _node(F.col("url")))).join(spread, "node", "left")
+    out = placed(own).withColumn("node", _node(normal(F.col("url")))).join(spread, "node", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "alias_verdict", F.lit("allow")).alias("verdict"))
 
 
