@@ -67,11 +67,21 @@ class EliasFano:
             low |= (int(self._low[bit >> 3]) >> (bit & 7) & 1) << k
         return high << self._width | low
 
-    def all(self) -> np.ndarray:
-        """All values."""
-        ones = np.flatnonzero(np.unpackbits(self._high, count=self._n_bits, bitorder="little"))
-        low = np.unpackbits(self._low, count=self.n * self._width, bitorder="little").reshape(self.n, self._width).astype(np.int64)
-        return (ones - np.arange(self.n) << self._width) + (low << np.arange(self._width)).sum(1)
+    def select_range(self, low: int, high: int) -> np.ndarray:
+        """Values ``low`` to ``high`` (not included): one scan from the sample before the first to the one behind the last; nothing else is unpacked."""
+        if not 0 <= low <= high <= self.n:
+            raise IndexError((low, high))
+        if low == high:
+            return np.empty(0, np.int64)
+        first, behind = low // SAMPLE, -(-high // SAMPLE)
+        start = int(self._samples[first]) >> 3
+        stop = (int(self._samples[behind]) >> 3) + 1 if behind < len(self._samples) else len(self._high)
+        ones = np.flatnonzero(np.unpackbits(self._high[start:stop], bitorder="little")) + 8 * start
+        ones = ones[ones >= int(self._samples[first])][low - first * SAMPLE :][: high - low]
+        bit = low * self._width
+        raw = self._low[bit >> 3 : -(-high * self._width // 8)]
+        bits = np.unpackbits(raw, bitorder="little")[bit & 7 :][: (high - low) * self._width].reshape(high - low, self._width).astype(np.int64)
+        return (ones - np.arange(low, high) << self._width) + (bits << np.arange(self._width)).sum(1)
 
 
 def file_bytes(doc_ids: np.ndarray, n_null: int, parts: list[bytes]) -> bytes:
@@ -102,14 +112,19 @@ class TokenFile:
         self._at = len(MAGIC) + 4 + size
         self.bounds = EliasFano(self._section("bounds"))
         self.n_docs = self.header["n_docs"]
+        self._numbers: EliasFano | None = None
 
     def _section(self, name: str) -> bytes:
         place, size = self.header["sections"][name]
         return self._source.read_at(size, self._at + place)
 
-    def doc_ids(self) -> list[int | None]:
-        """The documents' numbers in order; those without one come first."""
-        return [None] * self.header["n_null"] + (EliasFano(self._section("doc_ids")).all() + self.header["base"]).tolist()
+    def doc_ids(self, low: int, high: int) -> list[int | None]:
+        """The numbers of documents ``low`` to ``high`` in order; those without one come first."""
+        if self._numbers is None:
+            self._numbers = EliasFano(self._section("doc_ids"))
+        null = self.header["n_null"]
+        rest = self._numbers.select_range(max(low - null, 0), max(high - null, 0)) + self.header["base"]
+        return [None] * (min(high, null) - min(low, null)) + rest.tolist()
 
     def ids(self, low: int, high: int) -> np.ndarray:
         """ids ``low`` to ``high`` of the file."""

@@ -30,6 +30,8 @@ from . import elias_fano, tokens
 from .common import bounded_batches, partitions, shared_path, staged
 
 FILE_IDS = 16 << 20
+#: Documents whose boundaries are read at once.
+STRETCH = 4_096
 MANIFEST = "part long, seq long, name string, n_docs long, n_ids long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long, file string"
 
@@ -75,7 +77,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, style: str, end_id: int,
     """Write ``docs`` as token files under ``path`` (a URI); returns the manifest: a row for each file, in no order."""
     store, root = fs.FileSystem.from_uri(path)
     store.create_dir(root, recursive=True)
-    two = bounded_batches(docs).select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    two = bounded_batches(docs).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     # The second key parts a number that many rows bear.
     ordered = two.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
     return staged(ordered.mapInArrow(functools.partial(_write_files, path=path, vocabulary=vocabulary, style=style, end_id=end_id, file_ids=file_ids), MANIFEST), "token-manifest")
@@ -87,15 +89,17 @@ def _read_files(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Rec
         for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             with store.open_input_file(f"{root}/{name}") as source:
                 f = elias_fano.TokenFile(source)
-                bounds, numbers = f.bounds.all(), f.doc_ids()
-                low = 0
-                while low < f.n_docs:
-                    high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + (1 << 21), "right")) - 1)
-                    wide = f.ids(int(bounds[low]), int(bounds[high])).astype("<u4")
-                    own = bounds[low : high + 1] - bounds[low]
-                    crc = [zlib.crc32(wide[a:b]) for a, b in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(numbers[low:high], pa.int64()), pa.array(bounds[low:high] + start), pa.array(np.diff(own)), pa.array(crc, pa.int64()), pa.array([name] * (high - low))], names=[x.split()[0] for x in READ.split(", ")])
-                    low = high
+                for first in range(0, f.n_docs, STRETCH):
+                    last = min(first + STRETCH, f.n_docs)
+                    bounds, numbers = f.bounds.select_range(first, last + 1), f.doc_ids(first, last)
+                    low = 0
+                    while low < last - first:
+                        high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + (1 << 21), "right")) - 1)
+                        wide = f.ids(int(bounds[low]), int(bounds[high])).astype("<u4")
+                        own = bounds[low : high + 1] - bounds[low]
+                        crc = [zlib.crc32(wide[a:b]) for a, b in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array(numbers[low:high], pa.int64()), pa.array(bounds[low:high] + start), pa.array(np.diff(own)), pa.array(crc, pa.int64()), pa.array([name] * (high - low))], names=[x.split()[0] for x in READ.split(", ")])
+                        low = high
 
 
 def read(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
