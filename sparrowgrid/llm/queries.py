@@ -51,8 +51,8 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages as responses, and their derived records with links and digests."""
-    return warc.linked(warc.derivatives(warc.responses_of(read_table(spark, sf_dir, "pages"))))
+    """All pages as responses; their derived records, written as files and read back, with links and digests."""
+    return warc.linked(warc.written_and_read(warc.derivatives(warc.responses_of(read_table(spark, sf_dir, "pages")))))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

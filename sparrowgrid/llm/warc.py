@@ -10,8 +10,9 @@ gzip members (a record each) of files of bounded size, and :func:`read_files` re
 
 Defined results: a null payload is an empty one; a response that isn't HTML keeps its text if its type is text, and has
 an empty conversion otherwise; broken markup is read as far as it goes; responses without an identifier get one from
-their target and digest; repeated responses give repeated derivatives; an empty table gives an empty result; further
-columns are ignored.
+their target and digest; responses without a date get the epoch's; line breaks within header values are percent-encoded, so that no value can add a header; payloads are
+read without their transfer and content codings (chunked, gzip, deflate), as far as those are whole, and digested as they are then; repeated headers are kept, in order;
+repeated responses give repeated derivatives; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import io
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,9 +35,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, shared_path
 
-VERSION = "WARC/1.1"
+VERSION, EPOCH = "WARC/1.1", "1970-01-01T00:00:00Z"
+#: Records of a batch that a reader gives, at most.
+READ_ROWS = 200
 RECORD = "record_id string, type string, target_uri string, date string, refers_to string, headers string, content binary"
 _NAMES = [x.split()[0] for x in RECORD.split(", ")]
 _DROPPED = re.compile(r"(?is)<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>|<!doctype[^>]*>")
@@ -71,29 +75,74 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status, pairs, body
 
 
+def _unchunked(raw: bytes) -> bytes:
+    """The data of a chunked body; what isn't chunked ends it."""
+    out, at = [], 0
+    while (end := raw.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(raw[at:end].split(b";", 1)[0].strip() or b"0", 16)
+        except ValueError:
+            break
+        if size <= 0:
+            return b"".join(out)
+        out.append(raw[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out) if out else raw
+
+
+def _inflated(raw: bytes, bits: tuple[int, ...]) -> bytes:
+    """What a compressed body holds, as far as it is whole; the body itself if it isn't compressed."""
+    for b in bits:
+        machine = zlib.decompressobj(b)
+        try:
+            return machine.decompress(raw) + machine.flush()
+        except zlib.error:
+            continue
+    return raw
+
+
+def decoded(pairs: list[tuple[str, str]], body: bytes) -> bytes:
+    """A body without its transfer and content codings."""
+    value = lambda name: ",".join(v for k, v in pairs if k.lower() == name).lower()
+    if "chunked" in value("transfer-encoding"):
+        body = _unchunked(body)
+    for coding in reversed([x.strip() for x in value("content-encoding").split(",")]):
+        if coding in ("gzip", "x-gzip"):
+            body = _inflated(body, (31,))
+        elif coding == "deflate":
+            body = _inflated(body, (15, -15))
+    return body
+
+
+def header_value(text: str) -> str:
+    """A header's value on one line."""
+    return text.replace("\r", "%0D").replace("\n", "%0A").replace("\0", "%00")
+
+
 def serialise(kind: str, record_id: str, headers: list[tuple[str, str]], content: bytes) -> bytes:
     """A record as the format writes it."""
-    lines = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id}", *(f"{k}: {v}" for k, v in headers), f"Content-Length: {len(content)}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + content + b"\r\n\r\n"
+    lines = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: {header_value(record_id)}", *(f"{header_value(k)}: {header_value(v)}" for k, v in headers), f"Content-Length: {len(content)}"]
+    return "\r\n".join(lines).encode("utf-8", "replace") + b"\r\n\r\n" + content + b"\r\n\r\n"
 
 
-def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, content) of each record of an uncompressed stream."""
+def parse(stream: io.BufferedIOBase) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """(headers in order, content) of each record of an uncompressed stream."""
     while line := stream.readline():
         if not line.strip():
             continue
         if not line.startswith(b"WARC/"):
             raise ValueError("no record starts here")
-        headers = {}
+        headers: list[tuple[str, str]] = []
         while (line := stream.readline()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
-            headers[name.strip()] = value.strip()
-        yield headers, stream.read(int(headers.get("Content-Length", 0)))
+            headers.append((name.strip(), value.strip()))
+        yield headers, stream.read(int(next((v for k, v in headers if k.lower() == "content-length"), 0)))
 
 
 def derive_one(record_id: str | None, target: str | None, date: str | None, headers: list[tuple[str, str]], block: bytes) -> list[tuple]:
     """The metadata and the conversion of a response, as rows of RECORD."""
-    status, http, payload = http_parts(block)
+    status, http, body = http_parts(block)
+    payload = decoded(http, body)
     payload_digest = digest(payload)
     source = record_id or derived_id(f"{target}|{payload_digest}", "response")
     kind = next((v for k, v in http if k.lower() == "content-type"), "text/html").lower()
@@ -105,8 +154,9 @@ def derive_one(record_id: str | None, target: str | None, date: str | None, head
     text = plain_text(page) if "html" in kind else page if kind.startswith("text/") else ""
     content = text.encode("utf-8", "replace")
     meta_id, text_id = derived_id(source, "metadata"), derived_id(source, "conversion")
-    common = [("WARC-Target-URI", target or ""), ("WARC-Date", date or ""), ("WARC-Refers-To", source)]
-    envelope = {"source": {"WARC-Record-ID": source, **dict(headers)}, "http": {"status": status, "headers": http}, "payload": {"digest": payload_digest, "length": len(payload)}, "conversion": {"WARC-Record-ID": text_id, "digest": digest(content), "length": len(content)}}
+    date = date or EPOCH
+    common = [("WARC-Target-URI", target or ""), ("WARC-Date", date), ("WARC-Refers-To", source)]
+    envelope = {"source": {"WARC-Record-ID": source, "headers": headers}, "http": {"status": status, "headers": http}, "payload": {"digest": payload_digest, "length": len(payload)}, "conversion": {"WARC-Record-ID": text_id, "digest": digest(content), "length": len(content)}}
     about = json.dumps(envelope, ensure_ascii=False).encode("utf-8", "replace")
     made = [
         ("metadata", meta_id, [*common, ("WARC-Concurrent-To", text_id), ("WARC-Block-Digest", digest(about)), ("Content-Type", "application/json")], about),
@@ -121,10 +171,10 @@ def _derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, target, date, headers, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             out += derive_one(own, target, date, [tuple(x) for x in json.loads(headers or "[]")], content or b"")
             if len(out) >= 1_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if n == "content" else pa.string()) for n, x in zip(_NAMES, zip(*out, strict=True), strict=True)], names=_NAMES)
+                yield _batch(out)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if n == "content" else pa.string()) for n, x in zip(_NAMES, zip(*out, strict=True), strict=True)], names=_NAMES)
+            yield _batch(out)
 
 
 def derivatives(records: DataFrame) -> DataFrame:
@@ -187,10 +237,20 @@ def _read(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBat
     for batch in batches:
         for name in batch.column(0).to_pylist():
             with store.open_input_stream(f"{root}/{name}", compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
+                rows: list[tuple] = []
                 for headers, content in parse(stream):
-                    rest = [[k, v] for k, v in headers.items() if k not in ("WARC-Type", "WARC-Record-ID", "Content-Length")]
-                    row = (headers.get("WARC-Record-ID"), headers.get("WARC-Type"), headers.get("WARC-Target-URI"), headers.get("WARC-Date"), headers.get("WARC-Refers-To"), json.dumps(rest), content)
-                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary() if n == "content" else pa.string()) for n, x in zip(_NAMES, row, strict=True)], names=_NAMES)
+                    rest = [[k, v] for k, v in headers if k not in ("WARC-Type", "WARC-Record-ID", "Content-Length")]
+                    first = {k: v for k, v in reversed(headers)}
+                    rows.append((first.get("WARC-Record-ID"), first.get("WARC-Type"), first.get("WARC-Target-URI"), first.get("WARC-Date"), first.get("WARC-Refers-To"), json.dumps(rest), content))
+                    if len(rows) >= READ_ROWS:
+                        yield _batch(rows)
+                        rows = []
+                if rows:
+                    yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if n == "content" else pa.string()) for n, x in zip(_NAMES, zip(*rows, strict=True), strict=True)], names=_NAMES)
 
 
 def read_files(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
@@ -199,6 +259,12 @@ def read_files(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     return files.mapInArrow(functools.partial(_read, path=path), RECORD)
 
 
+def written_and_read(records: DataFrame) -> DataFrame:
+    """``records`` as files in a fresh shared folder, as read back."""
+    path = shared_path(records.sparkSession, "warc-files")
+    return read_files(records.sparkSession, path, write_files(records, path))
+
+
 def linked(records: DataFrame) -> DataFrame:
     """A row for each derived record: what it is, what it refers to, and its digests, as its headers have them."""
     pairs = F.from_json("headers", "array<array<string>>")

@@ -194,7 +194,7 @@ def test_pii(spark):
     got = {r.doc_id: (r.text, r.n_pii) for r in out.collect()}
     for k, t in enumerate(PII):
         assert got[k] == plain_pii(t, "secret-key"), t
-    assert got[0][1] == 2 and got[1][1] == luhn("9807915762804490") + luhn("4845168114407329") and got[4][1] == 3 and got[10] == ("nothing here", 0)
+    assert got[0][1] == 2 and got[1][1] == luhn("9807915762804490") + luhn("4845168114407329") and got[4][1] == 4 and got[10] == ("nothing here", 0)
     new = re.findall(r"(?:\d[ -]?){16}", got[0][0])
     assert re.sub(r"\D", "", new[0]) == re.sub(r"\D", "", new[1]) and luhn(re.sub(r"\D", "", new[0])) and new[0][4] == "-" and new[1][4] == " "
     other = {r.doc_id: r.text for r in pii.replace_pii(df, "another").collect()}
@@ -281,16 +281,118 @@ def test_warc(spark, tmp_path):
 
 def test_warc_records():
     raw = warc.serialise("response", "<urn:x>", [("A", "b")], b"x\r\n\r\ny") * 2
-    assert [(h["WARC-Type"], c) for h, c in warc.parse(io.BytesIO(raw))] == [("response", b"x\r\n\r\ny")] * 2
+    assert [(dict(h)["WARC-Type"], c) for h, c in warc.parse(io.BytesIO(raw))] == [("response", b"x\r\n\r\ny")] * 2
     with pytest.raises(ValueError, match="record"):
         list(warc.parse(io.BytesIO(b"junk\r\n")))
     status, headers, body = warc.http_parts(b"HTTP/1.1 200 OK\r\nContent-Type: text/plain; charset=latin-1\r\n\r\n\xe9")
     assert (status, headers, body) == ("HTTP/1.1 200 OK", [("Content-Type", "text/plain; charset=latin-1")], b"\xe9")
     (_, meta), (_, text) = [(r[1], r[6]) for r in warc.derive_one(None, "u", "d", [("X", "1")], b"HTTP/1.1 200 OK\r\nContent-Type: text/plain; charset=latin-1\r\n\r\n\xe9")]
-    assert text.decode() == "é" and b'"X": "1"' in meta
+    assert text.decode() == "é" and b'["X", "1"]' in meta
     assert warc.derive_one("r", None, None, [], b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\nabc")[1][6] == b""
 
 
+def test_warc_codings_and_headers():
+    import gzip
+    import json
+    import zlib
+
+    chunks = lambda raw: b"".join(b"%x;x=y\r\n%s\r\n" % (len(raw[k : k + 7]), raw[k : k + 7]) for k in range(0, len(raw), 7)) + b"0\r\nT: v\r\n\r\n"
+    page = b"<p>hi</p><p>yo</p>"
+    head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nSet-Cookie: a\r\nSet-Cookie: b\r\n"
+    forms = [
+        head + b"\r\n" + page, head + b"Transfer-Encoding: chunked\r\n\r\n" + chunks(page), head + b"Content-Encoding: gzip\r\n\r\n" + gzip.compress(page),
+        head + b"Content-Encoding: deflate\r\n\r\n" + zlib.compress(page), head + b"Content-Encoding: deflate\r\n\r\n" + zlib.compress(page)[2:-4], head + b"Transfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n\r\n" + chunks(gzip.compress(page)),
+        head + b"Transfer-Encoding: chunked\r\n\r\n" + page, head + b"Content-Encoding: gzip\r\n\r\n" + page,
+    ]
+    for block in forms:
+        (_, _, _, _, _, _, meta), (_, _, _, date, _, _, text) = warc.derive_one("<urn:x>", "u", None, [("A", "1"), ("A", "2"), ("WARC-Record-ID", "<other>")], block)
+        told = json.loads(meta)
+        assert text == b"hi\nyo" and date == warc.EPOCH and told["payload"] == {"digest": warc.digest(page), "length": len(page)}
+        assert told["source"] == {"WARC-Record-ID": "<urn:x>", "headers": [["A", "1"], ["A", "2"], ["WARC-Record-ID", "<other>"]]} and told["http"]["headers"][1:3] == [["Set-Cookie", "a"], ["Set-Cookie", "b"]]
+    forged = warc.serialise("metadata", "<urn:x>", [("WARC-Target-URI", "http://a/\r\nWARC-Type: response"), ("B", "1"), ("B", "2")], b"")
+    (headers, _), = warc.parse(io.BytesIO(forged))
+    assert headers == [("WARC-Type", "metadata"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Target-URI", "http://a/%0D%0AWARC-Type: response"), ("B", "1"), ("B", "2"), ("Content-Length", "0")]
+
+
+def plain_normal(url):
+    from urllib.parse import urlsplit
+
+    u = urlsplit(url.split("#")[0])
+    host = u.netloc.lower().removesuffix({"http": ":80", "https": ":443"}.get(u.scheme.lower(), ":"))
+    out = []
+    parts = u.path.split("/")
+    for x in parts:
+        if x == "..":
+            out = out[: max(len(out) - 1, 1)]
+        elif x != ".":
+            out.append(x)
+    path = "/".join(out + [""] * (parts[-1] in (".", "..")))
+    return f"{u.scheme.lower()}://{host}{path or '/'}{'?' + u.query if u.query else ''}"
+
+
+def test_references_are_resolved(spark):
+    from urllib.parse import urljoin
+
+    from pyspark.sql import functions as F
+
+    bases = ["https://A.example.net/x/y/z?q=1", "http://b.example.net:80/", "https://c.example.net:443/d/"]
+    targets = ["https://FREE.example.net/p", "../de/1", "./a/../b/.", "/r?x=1&amp;y=2", "//other.example.net/../k", "?only=query", "f", "a/b/../../c/..", "HTTPS://D.example.net", "../../../../up", "g#part"]
+    rows = [(b, t) for b in bases for t in targets]
+    got = spark.createDataFrame(rows, "b string, t string").select("b", "t", url_filter.resolved(F.col("b"), F.col("t")).alias("to")).collect()
+    for r in got:
+        assert r.to == plain_normal(urljoin(r.b, r.t.replace("&amp;", "&"))), (r.b, r.t)
+    nothing = spark.createDataFrame([(bases[0], t) for t in ("", "#x", "mailto:a@b", "javascript:void(0)", None)], "b string, t string")
+    assert {r[0] for r in nothing.select(url_filter.resolved(F.col("b"), F.col("t"))).collect()} == {None}
+
+
+def brute_verdicts(pages):
+    """Rules, then the closure of all links between normal forms, taken literally."""
+    from urllib.parse import urljoin
+
+    def rule(url):
+        rest = url.split("://", 1)[1]
+        host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+        fits = [(len(r), v) for v, r in url_filter.RULES if (host.lower() == r.split("/")[0] or host.lower().endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+        return max(fits)[1] if fits else None
+
+    group = {}
+
+    def find(x):
+        group.setdefault(x, x)
+        return x if group[x] == x else find(group[x])
+
+    for _, url, page in pages:
+        if url and "://" in url:
+            base = re.search('<base href="([^"]*)"', page or "")
+            for m in re.findall('canonical" href="([^"]*)"|;url=([^"]*)"', page or ""):
+                a, b = find(plain_normal(url)), find(plain_normal(urljoin(urljoin(url, base[1]) if base else url, "".join(m).replace("&amp;", "&"))))
+                group[a] = b
+    told = {}
+    for x in list(group):
+        if v := rule(x):
+            told[find(x)] = min(v, told.get(find(x), "block"))
+    return {i: "allow" if not url or "://" not in url else rule(url) or (told.get(find(plain_normal(url)), "allow") if plain_normal(url) in group else "allow") for i, url, _ in pages}
+
+
+def test_verdicts_against_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    hosts = ["free.example.net", "FREE.example.net", "other.example.net:443", "x.com", "y.example.org", "z.org", "q.example.net"]
+    urls = [f"https://{h}{p}" for h in hosts for p in ("/p", "/a/../p", "/de/1", "/es/2", "/fr/3", "", "/d/e?x=1&y=2", "/d/./f#top")]
+    refs = ["../de/1", "p", "/p", "https://X.com/de/1", "//x.com/fr/3", "https://y.example.org/es/2", "/d/e?x=1&amp;y=2", "https://q.example.net/p"]
+    pages = []
+    for k in range(400):
+        page = rng.choice(["", '<base href="/d/">', '<base href="https://q.example.net/k/">'])
+        if rng.random() < 0.3:
+            page += f'<link rel="canonical" href="{rng.choice(refs)}">'
+        if rng.random() < 0.2:
+            page += f'<meta http-equiv="refresh" content="0;url={rng.choice(refs)}">'
+        pages.append((k, rng.choice([*urls, None, "none"]) if rng.random() < 0.5 else f"https://h{k}.example.net/{rng.choice(['', 'a/b', 'de/1'])}", page))
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == brute_verdicts(pages) and {"allow", "block"} == set(got.values())
+
+
 def brute_pipeline(docs, items):
     """The pipeline over a small table, stage by stage, in plain Python: (doc_id, text) that reach packing."""
     import pyarrow as pa

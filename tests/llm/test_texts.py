@@ -67,7 +67,11 @@ def test_added_tokens_are_the_librarys(name, style, want):
 def test_elias_fano(values):
     values = np.array(sorted(values), np.int64)
     f = elias_fano.EliasFano(elias_fano.encode(values, int(values[-1]) if len(values) else 0))
-    assert f.all().tolist() == values.tolist()
+    n = len(values)
+    assert f.select_range(0, n).tolist() == values.tolist()
+    for low in {0, n // 3, max(n - 1, 0)}:
+        for high in {low, (low + n) // 2, n}:
+            assert f.select_range(low, high).tolist() == values[low:high].tolist()
     assert [f.select(i) for i in range(0, len(values), 7)] == values[::7].tolist()
 
 
@@ -266,3 +270,12 @@ def test_packing_takes_no_longer_for_more_items():
     assert plan.sequences * 512 + plan.units - 512 * 2 <= (mixed[1:] * np.arange(1, 513)).sum() * 1.01
     for pattern, times in packing.full_patterns(np.r_[0, np.full(512, 7)], 512):
         assert times > 0 and pattern @ np.arange(513) >= 511
+
+
+def test_select_range_over_many_samples():
+    values = np.cumsum(np.random.default_rng(3).integers(0, 3000, 5000))
+    f = elias_fano.EliasFano(elias_fano.encode(values, int(values[-1])))
+    for low, high in ((0, 5000), (255, 257), (256, 512), (300, 4999), (4999, 5000), (511, 513), (1024, 1024)):
+        assert f.select_range(low, high).tolist() == values[low:high].tolist() == [f.select(i) for i in range(low, high)]
+    with pytest.raises(IndexError):
+        f.select_range(0, 5001)
