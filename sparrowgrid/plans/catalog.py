@@ -14,12 +14,23 @@ from .registry import query
 FRONT_KEY = ["canonical_id", "source_key"]
 
 
-def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return upsert.latest(a.link_rows(spark, sf_dir), FRONT_KEY, [F.col("seq")]).drop("seq")
+def _newest(rows: DataFrame, shown: DataFrame | None) -> DataFrame:
+    """The newest row of each key; those of a page's packages only, whose ids (a page's number at most) are broadcast before anything is shuffled."""
+    if shown is not None:
+        rows = rows.join(F.broadcast(shown.select("canonical_id")), "canonical_id", "left_semi")
+    return upsert.latest(rows, FRONT_KEY, [F.col("seq")]).drop("seq")
 
 
-def _fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return upsert.latest(a.front_rows(spark, sf_dir), FRONT_KEY, [F.col("seq")]).drop("seq")
+def _links(spark: SparkSession, sf_dir: str, shown: DataFrame | None = None) -> DataFrame:
+    return _newest(a.link_rows(spark, sf_dir), shown)
+
+
+def _fronts(spark: SparkSession, sf_dir: str, shown: DataFrame | None = None) -> DataFrame:
+    return _newest(a.front_rows(spark, sf_dir), shown)
+
+
+def _page(spark: SparkSession, sf_dir: str, shown: DataFrame) -> DataFrame:
+    return _flat(catalog.children(shown, _links(spark, sf_dir, shown), _fronts(spark, sf_dir, shown)))
 
 
 def _flat(nested: DataFrame) -> DataFrame:
@@ -46,13 +57,13 @@ def _with(*views: str) -> str:
 @query(_with(a.PACKAGES, a.FRONTS, a.LINKS, "shown AS (SELECT * FROM package ORDER BY created_at DESC, canonical_id DESC LIMIT 51)") + _NESTED)
 def catalog_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest page of the catalog with its links and fronts (D-18, D-19, O-4, J-15)."""
-    return _flat(catalog.children(catalog.catalog_page(a.packages(spark, sf_dir), 50), _links(spark, sf_dir), _fronts(spark, sf_dir)))
+    return _page(spark, sf_dir, catalog.catalog_page(a.packages(spark, sf_dir), 50))
 
 
 @query(_with(a.PACKAGES, a.FRONTS, a.LINKS, "shown AS (SELECT * FROM package WHERE (created_at, canonical_id) < (TIMESTAMP '1998-01-01', 'pkg-5') ORDER BY created_at DESC, canonical_id DESC LIMIT 26)") + _NESTED)
 def catalog_page_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page behind a cursor (D-19, O-4)."""
-    return _flat(catalog.children(catalog.catalog_page(a.packages(spark, sf_dir), 25, (datetime(1998, 1, 1), "pkg-5")), _links(spark, sf_dir), _fronts(spark, sf_dir)))
+    return _page(spark, sf_dir, catalog.catalog_page(a.packages(spark, sf_dir), 25, (datetime(1998, 1, 1), "pkg-5")))
 
 
 @query(_with(a.PACKAGES, a.FRONTS, a.LINKS, "shown AS (SELECT * FROM package)") + _NESTED)
