@@ -48,20 +48,31 @@ def longest_profile(jobs: DataFrame, profiles: DataFrame, now: Column) -> DataFr
 
 def grants(eligible: DataFrame, nodes: DataFrame, agents: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """(grants, deferrals) of a round (O-2, P-16): denied jobs wait for their robots snapshot's end; of the others the first of each
-    origin is offered, and the k-th offer of a platform goes to the k-th idle node that can take it.
+    origin is offered. Nodes claim in the order of their ids, each the first offer that is left on a platform of its own.
 
-    ``nodes``: node_id, capabilities. A node gets one job; an offer that finds no node waits for the next round.
+    ``nodes``: node_id, capabilities. A node gets one job, so that no platform needs more offers than there are nodes: these, at most, are
+    ranked (a limit that each task applies before anything is shuffled) and come to the driver, where the claims are made one after the other.
     """
     judged = eligible.withColumn("allowed", robots_allows(agents)(F.col("status_code"), F.col("body"), F.col("url")))
     deferrals = judged.filter("not allowed").select("job_id", F.col("robots_expires_at").alias("robots_deferred_until"))
     order = F.struct("next_fetch_at", "created_at", "job_id")
-    offers = judged.filter("allowed").groupBy("origin").agg(F.min_by(F.struct("job_id", "platform", "profile_id", "min_delay_ms"), order).alias("j"), F.min(order).alias("o")).select("origin", "j.*", "o")
-    offers = offers.withColumn("k", F.row_number().over(Window.partitionBy("platform").orderBy("o")))
-    able = nodes.select("node_id", F.explode("capabilities").alias("platform"))
-    able = able.withColumn("k", F.row_number().over(Window.partitionBy("platform").orderBy("node_id")))
-    pairs = offers.join(able, ["platform", "k"])
-    taken = pairs.groupBy("node_id").agg(F.min_by(F.struct("job_id", "origin", "platform", "profile_id", "min_delay_ms"), F.col("o")).alias("j"))
-    return taken.select("node_id", "j.*"), deferrals
+    job = ("job_id", "platform", "profile_id", "min_delay_ms")
+    offers = judged.filter("allowed").groupBy("origin").agg(F.min_by(F.struct(*job), order).alias("j"), F.min(order).alias("o")).select("origin", "j.*", "o")
+    waiting = sorted(nodes.select("node_id", "capabilities").collect())  # the idle nodes of a round
+    first = offers.withColumn("k", F.row_number().over(Window.partitionBy("platform").orderBy("o"))).filter(F.col("k") <= len(waiting)).drop("k")
+    left: dict[str, list] = {}
+    for row in sorted(first.collect(), key=lambda r: r.o, reverse=True):  # a row for each node and platform, at most
+        left.setdefault(row.platform, []).append(row)
+    granted = []
+    for node in waiting:
+        heads = [left[p][-1] for p in node.capabilities or () if left.get(p)]
+        if heads:
+            taken = min(heads, key=lambda r: r.o)
+            left[taken.platform].pop()
+            granted.append((node.node_id, taken.job_id, taken.origin, taken.platform, taken.profile_id, taken.min_delay_ms))
+    kinds = {f.name: f.dataType.simpleString() for f in offers.schema}
+    schema = ", ".join([f"node_id {nodes.schema['node_id'].dataType.simpleString()}", *(f"{c} {kinds[c]}" for c in ("job_id", "origin", "platform", "profile_id", "min_delay_ms"))])
+    return eligible.sparkSession.createDataFrame(granted, schema), deferrals
 
 
 def robots_due(jobs: DataFrame, robots: DataFrame, refreshes: DataFrame, now: Column) -> DataFrame:

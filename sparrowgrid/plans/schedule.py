@@ -43,14 +43,16 @@ def claim_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _eligible(spark, sf_dir).select("job_id", "platform", "origin", "profile_id")
 
 
-_NODES = """, node AS (SELECT 'node-' || n AS node_id, unnest(CASE WHEN n % 2 = 0 THEN ['booth', 'vpm'] ELSE ['github', 'itch', 'booth'] END) AS platform FROM range(12) t(n)),
-offer AS (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY next_fetch_at, created_at, job_id) AS place FROM (
+_NODES = """, node AS (SELECT 'node-' || n AS node_id, CASE WHEN n % 2 = 0 THEN ['booth', 'vpm'] ELSE ['github', 'itch', 'booth'] END AS platforms, row_number() OVER (ORDER BY 'node-' || n) AS n FROM range(12) t(n)),
+offer AS (SELECT *, row_number() OVER (ORDER BY next_fetch_at, created_at, job_id) AS place FROM (
   SELECT *, row_number() OVER (PARTITION BY origin ORDER BY next_fetch_at, created_at, job_id) AS o FROM eligible WHERE status_code BETWEEN 200 AND 299 AND NOT (denied IS NOT NULL AND contains(url, '.example.com' || denied))) WHERE o = 1),
-able AS (SELECT node_id, platform, row_number() OVER (PARTITION BY platform ORDER BY node_id) AS place FROM node)
-SELECT node_id, job_id, origin, platform FROM (SELECT a.node_id, f.job_id, f.origin, f.platform, row_number() OVER (PARTITION BY a.node_id ORDER BY f.next_fetch_at, f.created_at, f.job_id) AS n FROM offer f JOIN able a ON a.platform = f.platform AND a.place = f.place) WHERE n = 1"""
+claim(n, taken) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+  SELECT c.n + 1, list_append(c.taken, list_min(list_filter(o.places, lambda x: NOT list_contains(c.taken, x)))) FROM claim c JOIN node d ON d.n = c.n + 1 JOIN (
+    SELECT d.n, coalesce(list(f.place) FILTER (WHERE f.place IS NOT NULL), []) AS places FROM node d LEFT JOIN offer f ON list_contains(d.platforms, f.platform) GROUP BY d.n) o ON o.n = c.n + 1)
+SELECT d.node_id, f.job_id, f.origin, f.platform FROM (SELECT max(n) AS n, arg_max(taken, n) AS taken FROM claim) c JOIN node d ON true JOIN offer f ON f.place = c.taken[d.n]"""
 
 
-@query(_ELIGIBLE.rstrip() + _NODES)
+@query(_ELIGIBLE.rstrip().replace("WITH", "WITH RECURSIVE", 1) + _NODES)
 def claim_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A round's grants (O-2, P-16): one job for each origin, one for each node."""
     nodes = spark.range(12).selectExpr("concat('node-', id) as node_id", "case when id % 2 = 0 then array('booth', 'vpm') else array('github', 'itch', 'booth') end as capabilities")
