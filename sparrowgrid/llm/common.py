@@ -22,9 +22,11 @@ _own_folders: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where it is unset, as in tests, a local one is made."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where it is unset and all tasks run on this machine, as in tests, a local one is made."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         application = spark.sparkContext.applicationId
         if application not in _own_folders:
             _own_folders[application] = f"file://{tempfile.mkdtemp(prefix='sparrowgrid-')}"
