@@ -1,6 +1,6 @@
 """Registered queries of the engine, by theme."""
 
-from . import catalog, evidence, history, identity, scalars, schedule, state  # noqa: F401
+from . import catalog, evidence, history, identity, scalars, schedule, state, writes  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,3 +23,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return function
 
     return wrap
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share, ``spark.checkpoint.dir``; a local one only where all tasks run on this machine, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='sparrowgrid-plans-')}"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
