@@ -39,7 +39,7 @@ from .common import bounded_batches, in_portions, on_batches
 SIMILARITY = 0.8
 WALKS = 3
 #: (Characters of an item at least, steps of a walk, sampled places): the first that an item is long enough for.
-REACHES = ((160, 32, 16), (80, 24, 12), (24, 16, 8), (0, 8, 4))
+REACHES = ((160, 32, 16), (80, 28, 14), (24, 16, 8), (0, 8, 4))
 #: Behind so many characters of a word, each one starts windows: some scripts have no blanks.
 LONG_WORD = 16
 #: Characters of benchmark texts in a task's closure at once.
@@ -106,9 +106,11 @@ def samples(embedded: np.ndarray, which: int, reach: int) -> np.ndarray:
     places = np.random.default_rng(_SEED + 100 + which).choice(steps, bits, replace=False)
     own = np.ascontiguousarray(embedded[places].T)
     key = np.zeros(len(own), np.uint64)
+    block = np.zeros((len(own), 8), np.uint8)
     for k in range(0, bits, 8):
-        size = min(8, bits - k)
-        key = wk.mix(key ^ np.ascontiguousarray(own[:, k : k + size]).view(f"<u{size}")[:, 0])
+        block[:, : min(8, bits - k)] = own[:, k : k + 8]
+        block[:, min(8, bits - k) :] = 0
+        key = wk.mix(key ^ block.view("<u8")[:, 0])
     return key
 
 
@@ -135,29 +137,39 @@ def columns(masks: np.ndarray, column: np.ndarray, size: np.ndarray) -> tuple[np
 
     ``column`` has a row for each place of the texts, and the masks' place of each text's character there. Bit-parallel, in words of 64 rows of all pairs at once."""
     n, words = len(size), len(masks)
-    one, top = np.uint64(1), np.uint64(63)
-    last, high = (size - 1) >> 6, ((size - 1) & 63).astype(np.uint64)
+    # Longer patterns come first, so that a word of rows is worked out for those that reach it alone.
+    order = np.argsort(-(-(-size // 64)), kind="stable")
+    back = np.empty(n, np.int64)
+    back[order] = np.arange(n)
+    column, size = np.ascontiguousarray(column[:, order]), size[order]
+    reach = [int((size > 64 * w).sum()) for w in range(words)] + [0]
+    one, top, high = np.uint64(1), np.uint64(63), ((size - 1) & 63).astype(np.uint64)
     plus, minus = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
-    ending = [last == w if (last == w).any() else None for w in range(words)]
     score, best, where = size.copy(), size.copy(), np.zeros(n, np.int64)
+    none = np.zeros(n, np.uint64)
     for c in range(len(column)):
-        up = down = np.zeros(n, np.uint64)
+        up = down = none
         for w in range(words):
-            eq, p, m = masks[w, column[c]], plus[w], minus[w]
-            xv = eq | m
+            m, longer = reach[w], reach[w + 1]
+            if not m:
+                break
+            up, down = up[:m], down[:m]
+            eq, p, q = masks[w, column[c, :m]], plus[w, :m], minus[w, :m]
+            xv = eq | q
             eq |= down
             xh = (((eq & p) + p) ^ p) | eq
-            ph, mh = m | ~(xh | p), p & xh
-            ends = ending[w]
-            if ends is not None:
-                score += np.where(ends, (ph >> high & one).astype(np.int64) - (mh >> high & one).astype(np.int64), 0)
+            ph, mh = q | ~(xh | p), p & xh
+            if longer < m:
+                score[longer:m] += (ph[longer:] >> high[longer:m] & one).view(np.int64) - (mh[longer:] >> high[longer:m] & one).view(np.int64)
             ph_out, mh_out = ph >> top, mh >> top
             ph, mh = ph << one | up, mh << one | down
-            plus[w], minus[w] = mh | ~(xv | ph), ph & xv
+            plus[w, :m], minus[w, :m] = mh | ~(xv | ph), ph & xv
             up, down = ph_out, mh_out
-        better = score < best
-        best[better] = score[better]
-        where[better] = c + 1
+        better = np.flatnonzero(score < best)
+        if len(better):
+            best[better] = score[better]
+            where[better] = c + 1
+    best, where = best[back], where[back]
     return best, where
 
 
