@@ -1,4 +1,4 @@
-"""Chat formatting with Spark expressions only.
+"""Chat formatting with Spark expressions; only what lies under the loss mask is cut out by an Arrow function.
 
 A conversation's turns are collected as structs, sorted, and merged where neighbours have the same role. A message is
 ``<|im_start|>role\\n``, its texts with ``<|im_sep|>`` between those of merged turns, and ``<|im_end|>\\n``, so that the
@@ -18,8 +18,11 @@ an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 START, SEPARATOR, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 ASSISTANT = "assistant"
@@ -86,11 +89,30 @@ def read_back(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _cut(formatted: pa.Array, runs: pa.Array) -> pa.Array:
+    """The stretches of each string that its runs put under loss. A string is sliced where a run begins, so the work follows its length."""
+    first = runs.offsets.to_numpy() - runs.offsets[0].as_py()
+    flat = runs.flatten()
+    length, loss = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("length", "loss"))
+    end = np.cumsum(length)
+    out = []
+    for text, low, high in zip(formatted.to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+        base = end[low] - length[low] if high > low else 0
+        some = low + np.flatnonzero(loss[low:high].astype(bool))
+        out.append([text[a:b] for a, b in zip((end[some] - length[some] - base).tolist(), (end[some] - base).tolist(), strict=True)])
+    return pa.array(out, pa.list_(pa.string()))
+
+
+def under_loss(formatted: Column, loss_runs: Column) -> Column:
+    """The texts under the loss mask, unescaped one by one: two texts' ends never make a control string together."""
+    return F.transform(_cut(formatted, loss_runs), unescape)
+
+
 def digest(formatted: DataFrame) -> DataFrame:
-    """What the formatted strings hold, read back from them."""
-    turns = formatted.select("conv_id", "formatted", "loss_runs", F.size("messages").cast("long").alias("n_messages"), read_back(F.col("formatted")).alias("turns"))
-    under_loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == ASSISTANT), lambda t: t["text"]), "")
-    told = turns.select("conv_id", "turns", "n_messages", F.length("formatted").cast("long").alias("formatted_chars"), under_loss.alias("loss_text"), F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("told"))
+    """What the formatted strings and their loss masks hold, read back from them."""
+    turns = formatted.select("conv_id", "formatted", F.array_join(under_loss(F.col("formatted"), F.col("loss_runs")), "").alias("loss_text"), F.size("messages").cast("long").alias("n_messages"), read_back(F.col("formatted")).alias("turns"))
+    told = turns.select("conv_id", "turns", "n_messages", F.length("formatted").cast("long").alias("formatted_chars"), "loss_text", F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("told"))
     return told.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2("told", 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars", "n_messages")
 
 

@@ -59,6 +59,16 @@ def test_chat(spark):
     assert chat_format.digest(chat_format.format_conversations(conversations(spark, []))).collect() == []
 
 
+def test_chat_digest_follows_the_mask(spark):
+    """The loss columns come from the mask: where it is moved, they change."""
+    formatted = chat_format.format_conversations(conversations(spark, [(1, 1, "user", "ab"), (1, 2, "assistant", "<"), (1, 3, "assistant", "\\|é𝄞"), (2, 1, "user", "z")]))
+    own = {r.conv_id: (r.loss_chars, r.loss_sha256) for r in chat_format.digest(formatted).collect()}
+    assert own == {1: (5, sha("<\\|é𝄞")), 2: (0, sha(""))}
+    for loss, want in (("false", (0, sha(""))), ("not x.loss and x.length = 2", (2, sha("ab")))):
+        moved = formatted.withColumn("loss_runs", F.expr(f"transform(loss_runs, x -> named_struct('length', x.length, 'loss', {loss}))"))
+        assert {r.conv_id: (r.loss_chars, r.loss_sha256) for r in chat_format.digest(moved).collect()}[1] == want
+
+
 def check_sql(spark, name):
     con = duckdb.connect()
     for t in ("conversations", "pages"):
