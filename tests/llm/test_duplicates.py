@@ -110,6 +110,23 @@ def test_join_other_cases(spark):
     assert kept.columns == ["doc_id", "text", "root", "n", "rep"] and sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 0), (True, 0), (True, 0)]
 
 
+def test_staged_tables_collect_the_drivers_garbage(spark):
+    """Shuffles and broadcasts of finished steps go when the driver's heap is collected as a whole: each staged table has it done."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    for k in range(3):
+        common.staged(spark.range(20), f"collected-{k}")
+    assert full() >= before + 3
+
+
+def test_pairs_in_small_portions(spark, monkeypatch):
+    """Portions of pairs change nothing but the memory of a task."""
+    monkeypatch.setattr(ngram_join, "PAIRS", 8)
+    rows = corpus(5, groups=6)
+    assert joined(spark, rows) == brute_join(rows)
+
+
 def test_overlaps():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, rng.integers(0, 80)).astype(np.uint64)) for _ in range(40)]
