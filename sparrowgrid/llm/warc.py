@@ -45,8 +45,6 @@ _NAMES = [x.split()[0] for x in RECORD.split(", ")]
 _DROPPED = re.compile(r"(?is)<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>|<!doctype[^>]*>")
 _BLOCK = re.compile(r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|nav|header|footer|title|head|body|html|blockquote|pre|hr|dd|dt|dl|form|main|aside|figure|figcaption|option|select|td|th)\b[^>]*>")
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_BLANKS = re.compile(r"[^\S\n]+")
-_BREAKS = re.compile(r" ?\n[ \n]*")
 
 
 def digest(raw: bytes) -> str:
@@ -62,7 +60,7 @@ def derived_id(source: str, kind: str) -> str:
 def plain_text(page: str) -> str:
     """A page's text: a line for each block, single blanks within."""
     text = _TAG.sub("", _BLOCK.sub("\n", _DROPPED.sub(" ", page)))
-    return _BREAKS.sub("\n", _BLANKS.sub(" ", html.unescape(text))).strip()
+    return "\n".join([line for x in html.unescape(text).split("\n") if (line := " ".join(x.split()))])
 
 
 def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:

@@ -3,6 +3,7 @@
 import collections
 import datetime
 import hashlib
+import html
 import io
 import random
 import re
@@ -301,6 +302,15 @@ def test_warc_records():
     assert warc.derive_one("r", None, None, [], b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\nabc")[1][6] == b""
 
 
+def test_warc_plain_text_blanks():
+    """White space of all kinds, as the definition by regular expressions has it."""
+    rng = random.Random(8)
+    for _ in range(3_000):
+        page = "".join(rng.choice(("a", "b", " ", "\n", "\r", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2028", "\u200b", "&nbsp;", "&#10;", "<p>", "</i>")) for _ in range(rng.randrange(24)))
+        text = html.unescape(warc._TAG.sub("", warc._BLOCK.sub("\n", page)))
+        assert warc.plain_text(page) == re.sub(r" ?\n[ \n]*", "\n", re.sub(r"[^\S\n]+", " ", text)).strip()
+
+
 def test_warc_codings_and_headers():
     import gzip
     import json
