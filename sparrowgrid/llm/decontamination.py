@@ -44,6 +44,8 @@ REACHES = ((160, 32, 16), (80, 28, 14), (24, 16, 8), (0, 8, 4))
 LONG_WORD = 16
 #: Characters of benchmark texts in a task's closure at once.
 BLOCK_CHARS = 16 << 20
+#: Places that are embedded at once: larger arrays leave the processor's cache, and their memory goes back to the system each time.
+PLACES = 1 << 15
 #: Windows that are compared at once.
 TOGETHER = 4_096
 LEAKS = "doc_id long, item_id long, similarity double, start_word long, n_words long"
@@ -95,8 +97,8 @@ def walk(low: np.ndarray, at: np.ndarray, steps: int, seed: int) -> np.ndarray:
     at = at.astype(np.int64)
     out = np.empty((steps, len(at)), np.uint8)
     for j in range(steps):
-        np.take(padded, at, out=out[j])
-        at += stay[j][out[j]]
+        np.take(padded, at, out=out[j], mode="clip")
+        at += np.take(stay[j], out[j])
     return out
 
 
@@ -104,12 +106,11 @@ def samples(embedded: np.ndarray, which: int, reach: int) -> np.ndarray:
     """A band's key of each embedding: its characters at the sampled steps, mixed into one number."""
     _, steps, bits = REACHES[reach]
     places = np.random.default_rng(_SEED + 100 + which).choice(steps, bits, replace=False)
-    own = np.ascontiguousarray(embedded[places].T)
-    key = np.zeros(len(own), np.uint64)
-    block = np.zeros((len(own), 8), np.uint8)
+    key = np.zeros(embedded.shape[1], np.uint64)
     for k in range(0, bits, 8):
-        block[:, : min(8, bits - k)] = own[:, k : k + 8]
-        block[:, min(8, bits - k) :] = 0
+        block = np.zeros((len(key), 8), np.uint8)
+        for j, place in enumerate(places[k : k + 8].tolist()):
+            block[:, j] = embedded[place]
         key = wk.mix(key ^ block.view("<u8")[:, 0])
     return key
 
@@ -232,19 +233,24 @@ class Benchmark:
 
 def candidates(chars: Chars, bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, item, place where the item would start) of the windows that agree with an item in a band; each once, in order."""
-    at = chars.places()
+    places = chars.places()
+    steps = max((REACHES[b.reach][1] for b in bench.bands), default=0)
     own: list[tuple[np.ndarray, np.ndarray]] = []
-    embedded: dict[int, np.ndarray] = {}
-    for band in bench.bands:
-        if band.walk not in embedded:
-            embedded = {band.walk: walk(chars.low, at, max(REACHES[b.reach][1] for b in bench.bands), _SEED + band.walk)}
-        key = samples(embedded[band.walk], band.walk, band.reach)
-        maybe = np.flatnonzero(band.seen[(key >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-        low = np.searchsorted(band.key, key[maybe], "left")
-        times = np.searchsorted(band.key, key[maybe], "right") - low
-        entry = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-        where = np.repeat(at[maybe], times)
-        own.append((band.item[entry] << 36 | (where - band.place[entry] + (1 << 34)), where))
+    for k in range(0, len(places), PLACES):
+        at = places[k : k + PLACES]
+        # A walk reads no more than its steps behind a place.
+        begin, end = int(at[0]), int(at[-1]) + steps + 1
+        embedded: dict[int, np.ndarray] = {}
+        for band in bench.bands:
+            if band.walk not in embedded:
+                embedded = {band.walk: walk(chars.low[begin:end], at - begin, steps, _SEED + band.walk)}
+            key = samples(embedded[band.walk], band.walk, band.reach)
+            maybe = np.flatnonzero(band.seen[(key >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+            low = np.searchsorted(band.key, key[maybe], "left")
+            times = np.searchsorted(band.key, key[maybe], "right") - low
+            entry = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+            where = np.repeat(at[maybe], times)
+            own.append((band.item[entry] << 36 | (where - band.place[entry] + (1 << 34)), where))
     if not own:
         return (np.empty(0, np.int64),) * 3
     code, where = (np.concatenate(x) for x in zip(*own, strict=True))

@@ -395,3 +395,19 @@ def test_diagonals():
         a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(14))) for _ in range(2))
         d, most = plain_distance(a, b), rng.randrange(10)
         assert line_dedup.few_edits(a, b, most) == (d if d <= most else None)
+
+
+def test_leaks_by_portions_of_places(monkeypatch):
+    """A walk goes on over the end of a portion of places: portions of any size give the same candidates."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoinsü") for _ in range(rng.randint(1, 22))) for _ in range(90)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(n))) for k, n in enumerate((2, 4, 9, 20, 40) * 3)]
+    texts = [" ".join([*rng.choices(words, k=9), items[rng.randrange(15)][1], *rng.choices(words, k=5)]) for _ in range(60)]
+    bench = decontamination.Benchmark.of(items)
+    (_, _, found), = decontamination.wk.scan_column(decontamination.pa.array(texts))
+    chars = decontamination.Chars.of(found)
+    want = [x.tolist() for x in decontamination.candidates(chars, bench)]
+    assert len(want[0]) >= 60
+    for size in (1, 7, 100):
+        monkeypatch.setattr(decontamination, "PLACES", size)
+        assert [x.tolist() for x in decontamination.candidates(chars, bench)] == want
