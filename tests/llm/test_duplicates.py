@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -127,6 +128,23 @@ def test_pairs_in_small_portions(spark, monkeypatch):
     assert joined(spark, rows) == brute_join(rows)
 
 
+def test_units_product_stays_small(monkeypatch):
+    """A unit's product takes no more than its matrix and a few rows beside it, and parts of it give the whole's links."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(np.r_[base[rng.random(300) < 0.97], rng.integers(0, 1 << 62, 9).astype(np.uint64)]) for _ in range(1_024)]
+    numbers = rng.permutation(5_000)[:1_024]
+    tracemalloc.start()
+    whole = ngram_join.unit_links(numbers, sets, 85)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(whole[0]) and peak < 28 << 20
+    monkeypatch.setattr(ngram_join, "SUMMED", 1 << 12)
+    monkeypatch.setattr(ngram_join, "ROWS", 7)
+    parts = ngram_join.unit_links(numbers, sets, 85)
+    assert [x.tolist() for x in whole] == [x.tolist() for x in parts]
+
+
 def test_overlaps():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, rng.integers(0, 80)).astype(np.uint64)) for _ in range(40)]
