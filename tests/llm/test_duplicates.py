@@ -145,6 +145,17 @@ def test_units_product_stays_small(monkeypatch):
     assert [x.tolist() for x in whole] == [x.tolist() for x in parts]
 
 
+def test_most_frequent_ngrams_are_merged_by_tasks(spark):
+    """The driver gets one list of at most so many keys, whatever the number of tasks; equal numbers go by key."""
+    rng = np.random.default_rng(3)
+    rows = [(rng.choice(10_000, 50, replace=False) + 10_000 * k, rng.integers(33, 40, 50)) for k in range(24)]
+    often = spark.createDataFrame([(bytearray(a.astype(np.int64).tobytes()), bytearray(n.astype(np.int64).tobytes())) for a, n in rows], ngram_join.OFTEN).repartition(12)
+    every = sorted((-n, a) for x, y in rows for a, n in zip(x.tolist(), y.tolist(), strict=True))
+    for most in (7, 300, 5_000):
+        assert ngram_join.most_frequent(often, most).tolist() == sorted(a for _, a in every[:most])
+    assert not len(ngram_join.most_frequent(often.limit(0), 5))
+
+
 def test_overlaps():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 60, rng.integers(0, 80)).astype(np.uint64)) for _ in range(40)]
