@@ -173,6 +173,26 @@ def plain_distance(a, b):
     return row[-1]
 
 
+def test_edit_distances_together(monkeypatch):
+    """Pairs that are compared together, in bands of one and more words, have the verdicts of single ones."""
+    rng = random.Random(17)
+    pairs, want = [], []
+    for k in range(600):
+        alphabet = "ab" if k % 3 == 0 else "".join(map(chr, range(0x4E00, 0x4E00 + 400))) if k % 7 == 0 else "abcdefgh "
+        a = "".join(rng.choice(alphabet) for _ in range(rng.choice((1, 20, 64, 65, 130, 700))))
+        b = list(a)
+        for _ in range(rng.randrange(1 + len(a) // 6)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(alphabet) * rng.randrange(2)
+        a, b = sorted((a, "".join(b)), key=len)
+        most = rng.choice((len(b) // 10, len(b) // 7, 1))
+        pairs.append((*(np.frombuffer(x.encode("utf-32-le"), "<u4") for x in (a, b)), most))
+        want.append(line_dedup.edit_distance(a, b, most) <= most)
+    assert line_dedup.all_within(pairs).tolist() == want and any(want) and not all(want)
+    monkeypatch.setattr(line_dedup, "TOGETHER_BITS", 1 << 12)
+    assert line_dedup.all_within(pairs).tolist() == want
+
+
 def test_edit_distance():
     rng = random.Random(1)
     for _ in range(400):
