@@ -275,9 +275,12 @@ def _compared(low: np.ndarray, items: list[Item], item: np.ndarray, begin: np.nd
         some = order[k : k + max(1, min(TOGETHER, (1 << 21) // max(longest, 1)))]
         k += len(some)
         own, row = np.unique(item[some], return_inverse=True)
-        at = begin[some] + np.arange(longest)[:, None]
-        letter = np.where(at < end[some], low[np.minimum(at, len(low) - 1)], 0)
-        yield some, *columns(row_masks([items[j].low for j in own.tolist()], 256), row * 256 + letter, size[item[some]])
+        # A row for each place, made one by one: arrays of places would be many times the letters.
+        column = np.empty((longest, len(some)), np.int32)
+        at, rest, masks = begin[some], (end - begin)[some], (row * 256).astype(np.int32)
+        for c in range(longest):
+            np.add(masks, np.where(c < rest, low.take(at + c, mode="clip"), np.uint8(0)), out=column[c])
+        yield some, *columns(row_masks([items[j].low for j in own.tolist()], 256), column, size[item[some]])
 
 
 def windows_of(chars: Chars, bench: Benchmark, edits: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:

@@ -266,7 +266,10 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", style: str = to
     ranked = encoded.join(F.broadcast(offsets) if small else offsets, ["part", "class"]).select("doc_id", "ids", "n", "part", "seq", "class", (F.col("rank") + F.col("base")).alias("rank"), (F.col("full_rank") + F.col("full_base")).alias("full"))
     # The end of the stretch: items that reach into its last sequence, so at most one for each unit of a sequence.
     last = plan.units - plan.units % (length // grid)
-    reach = spark.createDataFrame([(k, int(plan.covered[k]), int(plan.stretch[k])) for k in range(1, len(demand)) if demand[k] > plan.covered[k] and plan.stretch[k] + (demand[k] - plan.covered[k]) * k > last], "class int, covered long, stretch long")
+    sizes = np.arange(len(demand))
+    ends = np.flatnonzero((sizes > 0) & (demand > plan.covered) & (plan.stretch + (demand - plan.covered) * sizes > last))
+    # An Arrow table becomes rows in the driver's JVM; rows of Python objects would start further workers.
+    reach = spark.createDataFrame(pa.table({"class": pa.array(ends, pa.int32()), "covered": pa.array(plan.covered[ends], pa.int64()), "stretch": pa.array(plan.stretch[ends], pa.int64())}))
     place = F.col("stretch") + (F.col("rank") - F.col("covered")) * F.col("class")
     items = ranked.select("n", "part", "seq", "class", "rank").join(F.broadcast(reach), "class").filter("rank >= covered").withColumn("place", place).filter(F.col("place") + F.col("class") > last).collect()
     end, end_tokens = {}, 0

@@ -8,7 +8,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from sparrowgrid.llm import common, components, decontamination, line_dedup, ngram_join
+from sparrowgrid.llm import common, components, decontamination, line_dedup, ngram_join, units
 
 
 def brute_components(edges):
@@ -460,3 +460,63 @@ def test_leaks_by_portions_of_places(monkeypatch):
     for size in (1, 7, 100):
         monkeypatch.setattr(decontamination, "PLACES", size)
         assert [x.tolist() for x in decontamination.candidates(chars, bench)] == want
+
+
+def steps_together(plan):
+    """How many Arrow functions a stage of a plan has one on top of the other, at most: each takes a worker of its own in every task."""
+    path, most = [], 0
+    for line in plan.splitlines():
+        found = re.match(r"[ :+\-]*(?:\*\(\d+\) )?(\w+)", line)
+        if not found:
+            continue
+        while path and path[-1][0] >= found.start(1):
+            path.pop()
+        before = path[-1][1] if path else 0
+        path.append((found.start(1), 0 if found[1].endswith("Exchange") else before + (found[1] == "MapInArrow")))
+        most = max(most, path[-1][1])
+    return most
+
+
+def test_no_stage_has_two_arrow_functions_in_a_row(spark, monkeypatch):
+    """An executor keeps the workers of its busiest stage, and takes them by turns: two for each task would hold twice the memory ever after."""
+    plans = []
+
+    def noting(function):
+        def run(df, *rest):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return function(df, *rest)
+
+        return run
+
+    for module in (components, line_dedup, ngram_join, units):
+        monkeypatch.setattr(module, "staged", noting(common.staged))
+    for name in ("first", "collect"):
+        monkeypatch.setattr(type(spark.range(1)), name, noting(getattr(type(spark.range(1)), name)))
+    rows = corpus(8, groups=4)
+    # Tables as small as these would be broadcast.
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    assert joined(spark, rows) == brute_join(rows)
+    line_dedup.dedup_lines(docs(spark, [(k, t) for k, t in rows if t])).collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(plans) > 20 and any("MapInArrow" in x for x in plans)
+    assert not [x for x in plans if steps_together(x) > 1]
+
+
+def test_windows_are_compared_in_little_memory():
+    """A portion of windows takes little beside its letters' places, and gives each window its own distance."""
+    rng = np.random.default_rng(4)
+    items = [decontamination.Item(k, x, x.astype("<u4"), 60, 80) for k, x in enumerate(rng.integers(97, 123, (4, 400)).astype(np.uint8))]
+    low = rng.integers(97, 123, 200_000).astype(np.uint8)
+    item, begin = rng.integers(0, 4, 4_096), rng.integers(0, 199_000, 4_096)
+    end = begin + rng.integers(300, 500, 4_096)
+    low[begin[7] : begin[7] + 400] = items[item[7]].low
+    tracemalloc.start()
+    (some, best, where), = decontamination._compared(low, items, item, begin, np.maximum(end, begin + 400))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    k = some.tolist().index(7)
+    assert best[k] == 0 and where[k] == 400 and peak < 28 << 20
+    for k in (0, 1_000, 4_095):
+        a, b = begin[some[k]], max(end[some[k]], begin[some[k]] + 400)
+        assert best[k] == decontamination.nearest(items[item[some[k]]].low.tobytes().decode(), low[a:b].tobytes().decode())
