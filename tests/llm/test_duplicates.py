@@ -520,3 +520,32 @@ def test_windows_are_compared_in_little_memory():
     for k in (0, 1_000, 4_095):
         a, b = begin[some[k]], max(end[some[k]], begin[some[k]] + 400)
         assert best[k] == decontamination.nearest(items[item[some[k]]].low.tobytes().decode(), low[a:b].tobytes().decode())
+
+
+def test_lines_by_stretches_of_any_size(monkeypatch):
+    """Lines are worked on in stretches that fit the processor's cache; their size changes neither moments nor rows, nor do portions of pairs the clusters."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("etaoinsü") for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    texts = ["\n".join(" ".join(rng.choices(words, k=rng.randint(2, 60))) for _ in range(60)) for _ in range(40)]
+    batch = line_dedup.pa.RecordBatch.from_arrays([line_dedup.pa.array(range(40)), line_dedup.pa.array(range(40)), line_dedup.pa.array(texts)], names=["doc_id", "row_hash", "text"])
+    (_, _, found), = line_dedup.wk.scan_column(batch.column(2))
+    lines = line_dedup.normalised_lines(found)
+    assert all(lines.end[x.stop - 1] - lines.start[x.start] <= 1 << 17 for x in line_dedup._stretches(lines))
+
+    def results():
+        (sums,) = line_dedup._moments(iter([batch.select(["text"])]))
+        product, total = (np.frombuffer(sums.column(k)[0].as_py(), np.int64) for k in (0, 1))
+        rows = line_dedup.pa.Table.from_batches(line_dedup._line_rows(iter([batch]), line_dedup.Planes.of(product, total))).to_pydict()
+        bits, bag = (np.frombuffer(b"".join(rows[k]), t).reshape(len(rows[k]), -1) for k, t in (("bits", np.uint64), ("bag", np.uint8)))
+        return product.tolist(), rows, line_dedup.near_forest(np.array(rows["n_chars"]), bits, bag).tolist()
+
+    want = results()
+    assert len(want[1]["line"]) > 2_000
+    for size in (1, 5_000, 1 << 20):
+        monkeypatch.setattr(line_dedup, "STRETCH_BYTES", size)
+        monkeypatch.setattr(line_dedup, "JUDGED", max(300, size // 100))
+        got = results()
+        assert got[0] == want[0] and {k: v for k, v in got[1].items() if k != "bits"} == {k: v for k, v in want[1].items() if k != "bits"}
+        # Single precision rounds by the matrix' shape: a sign at zero may turn.
+        assert sum(x != y for x, y in zip(got[1]["bits"], want[1]["bits"], strict=True)) <= 2
+        assert size == 1 or got[2] == want[2]
